@@ -101,23 +101,31 @@ def select_best(comparison: DataFrame, preferred: str = "RandomForest") -> DataF
 
 
 def metrics_table(df: DataFrame, model_name: str, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Long form of all metrics: (model, class, metric, value)."""
-    table = _class_table(df, label, prediction)
-    classes = table.unpivot(
-        "class", [F.col(c).cast("double").alias(c) for c in ("precision", "recall", "f1", "support")],
-        "metric", "value",
+    """Long form of all metrics: (model, class, metric, value); class is null for the
+    overall ones. A rollup gives class rows and the overall row from one pass."""
+    rolled = (
+        _class_table(df, label, prediction)
+        .rollup("class")
+        .agg(
+            F.grouping("class").alias("_all"),
+            *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")],
+            F.sum("support").alias("support"),
+            F.sum("hits").alias("hits"),
+            F.sum(F.col("f1") * F.col("support")).alias("weighted"),
+        )
     )
-    overall = (
-        table.agg(
-            (F.sum("hits") / F.sum("support")).alias("accuracy"),
-            F.avg("precision").alias("macro_precision"),
-            F.avg("recall").alias("macro_recall"),
-            F.avg("f1").alias("macro_f1"),
-            (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"),
+
+    def entries(**values):
+        return F.array(
+            *[F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value")) for m, v in values.items()]
         )
-        .unpivot([], ["accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1"], "metric", "value")
-        .withColumn("class", F.lit(None).cast("string"))
+
+    overall = entries(
+        accuracy=F.col("hits") / F.col("support"), macro_precision=F.col("precision"),
+        macro_recall=F.col("recall"), macro_f1=F.col("f1"), weighted_f1=F.col("weighted") / F.col("support"),
     )
-    return classes.unionByName(overall).select(
-        F.lit(model_name).alias("model"), "class", "metric", F.round("value", 4).alias("value")
+    by_class = entries(**{c: F.col(c) for c in ("precision", "recall", "f1", "support")})
+    return (
+        rolled.select("class", F.inline(F.when(F.col("_all") == 1, overall).otherwise(by_class)))
+        .select(F.lit(model_name).alias("model"), "class", "metric", F.round("value", 4).alias("value"))
     )

@@ -142,6 +142,18 @@ def prepare(features_model: PipelineModel, df: DataFrame, classes: list[str] | N
     return out.select(*keep, F.col("root_cause"), "label", "features")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """At least one partition per core, for a cached frame that feeds a fit.
+
+    Only small inputs have fewer, so only they are shuffled. Rows are sorted inside the
+    partitions because bagging draws by position.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key).sortWithinPartitions(key)
+
+
 def with_class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     """Add ``weight`` = n / (classes * count); one row per class is joined."""
     return train.join(class_weights(train, label).select(label, "weight"), label)
@@ -149,16 +161,23 @@ def with_class_weights(train: DataFrame, label: str = "label") -> DataFrame:
 
 # --- training --------------------------------------------------------------------------
 
+def _forest(trees: int, depth: int, seed: int) -> RandomForestClassifier:
+    """Node ids are cached per row, and more nodes fit into one pass: deep trees need both."""
+    return RandomForestClassifier(
+        featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed,
+        cacheNodeIds=True, maxMemoryInMB=1024,
+    )
+
+
 def train_random_forest(
     train: DataFrame, trees: int = 50, depth: int = 10, seed: int = 42, balanced: bool = True
 ):
     """Random forest; Spark trees end at depth 30 at the latest."""
-    rf = RandomForestClassifier(
-        featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed
-    )
+    rf = _forest(trees, depth, seed)
     if balanced:
         rf = rf.setWeightCol("weight")
-        train = with_class_weights(train)
+        if "weight" not in train.columns:
+            train = with_class_weights(train)
     return rf.fit(train)
 
 
@@ -210,13 +229,13 @@ def train_structured_baseline(
         outputCol="features", handleInvalid="skip",
     )
     labels = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
+    rf = _forest(trees, depth, seed)
     return Pipeline(stages=[indexer, cast, assemble, labels, rf]).fit(train)
 
 
 def tune_grid(train: DataFrame, trees=(50, 100), depths=(10, 20), folds: int = 3, parallelism: int = 4):
     """Cross-validated search over forest size and depth; returns the fitted validator."""
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", seed=42)
+    rf = _forest(20, 5, 42)
     grid = ParamGridBuilder().addGrid(rf.numTrees, list(trees)).addGrid(rf.maxDepth, list(depths)).build()
     judge = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
     return CrossValidator(

@@ -7,6 +7,7 @@ in ``plans.oracle``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
@@ -804,24 +805,22 @@ def smote(spark, d):
 
 # --- models -----------------------------------------------------------------------------
 
-def training_rows(spark, d):
-    """Cleaned, capped and split failures."""
-    capped = sampling.cap_per_class(
-        failures_src(spark, d), "root_cause", "test_id", classes=vocab.ROOT_CAUSES
-    )
-    split = sampling.stratified_split(capped, "root_cause", "test_id", classes=vocab.ROOT_CAUSES)
-    columns = ["test_id", "root_cause", "error_message", "stack_trace"]
-    return split.select(*columns, *models.CATEGORY_COLUMNS, *models.NUMBER_COLUMNS, "side")
-
-
 class Prepared:
-    """Feature stages and the two sides of the capped training set."""
+    """Feature stages and the two sides of the cleaned, capped and split failures.
+
+    The cap bounds what is cached here to 2,000 rows per class.
+    """
 
     def __init__(self, spark, d):
-        self.rows = training_rows(spark, d).persist()
+        columns = ["test_id", "root_cause", "error_message", "stack_trace"]
+        rows = failures_src(spark, d).select(*columns, *models.CATEGORY_COLUMNS, *models.NUMBER_COLUMNS)
+        self.capped = sampling.cap_per_class(rows, "root_cause", "test_id", classes=vocab.ROOT_CAUSES).persist()
+        self.rows = sampling.stratified_split(
+            self.capped, "root_cause", "test_id", classes=vocab.ROOT_CAUSES
+        ).persist()
         self.train_rows = self.rows.filter("side = 'train'")
         self.stages = models.fit_features(self.train_rows)
-        self.train = models.prepare(self.stages, self.train_rows).persist()
+        self.train = models.with_class_weights(models.prepare(self.stages, self.train_rows)).persist()
 
     def test(self):
         return models.prepare(self.stages, self.rows.filter("side = 'test'"))
@@ -829,6 +828,19 @@ class Prepared:
     def release(self):
         self.train.unpersist()
         self.rows.unpersist()
+        self.capped.unpersist()
+
+
+@contextmanager
+def sides(split: DataFrame, key: str):
+    """(train, test) of a split, cached while a model is fitted."""
+    split = split.persist()
+    train = models.spread(split, key).filter("side = 'train'").persist()
+    try:
+        yield train, split.filter("side = 'test'")
+    finally:
+        train.unpersist()
+        split.unpersist()
 
 
 def with_prepared(fn):
@@ -878,10 +890,9 @@ def train_gradient_boosting(spark, d, p):
 @query
 def train_text_baseline(spark, d):
     rows = clean.project_dropna(view(spark, d, "runs_src"), ["run_id", "error_message", "failure_type"])
-    split = sampling.stratified_split(rows, "failure_type", "run_id").persist()
-    model = models.train_text_baseline(split.filter("side = 'train'"), "run_id")
-    scored = model.transform(split.filter("side = 'test'"))
-    split.unpersist()
+    with sides(sampling.stratified_split(rows, "failure_type", "run_id"), "run_id") as (train, test):
+        model = models.train_text_baseline(train, "run_id")
+        scored = model.transform(test)
     return evaluate.metrics_table(scored, "TextBaseline", "label", "prediction")
 
 
@@ -889,10 +900,9 @@ def train_text_baseline(spark, d):
 def train_structured_baseline(spark, d):
     columns = ["run_id"] + models.STRUCTURED_TEXT + models.STRUCTURED_NUMBERS + ["failure_type"]
     rows = clean.project_dropna(view(spark, d, "runs_src"), columns)
-    split = sampling.stratified_split(rows, "failure_type", "run_id").persist()
-    model = models.train_structured_baseline(split.filter("side = 'train'"))
-    scored = model.transform(split.filter("side = 'test'"))
-    split.unpersist()
+    with sides(sampling.stratified_split(rows, "failure_type", "run_id"), "run_id") as (train, test):
+        model = models.train_structured_baseline(train)
+        scored = model.transform(test)
     return evaluate.metrics_table(scored, "StructuredBaseline", "label", "prediction")
 
 
