@@ -45,13 +45,27 @@ def remove_stop_words(tokens: Column, stop_words: list[str]) -> Column:
 
 
 def term_counts(df: DataFrame, doc: str, term_array: str = "terms") -> DataFrame:
-    """(doc, term, tf). All terms of a document sit in one task, so the partial
-    aggregation does nearly all of the counting before the shuffle."""
-    return (
-        df.select(doc, F.explode(term_array).alias("term"))
-        .groupBy(doc, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    """(doc, term, tf), without a shuffle.
+
+    A document is one row, so its terms are sorted inside the row, where equal ones form
+    runs; the length of a run is the count. Grouping exploded terms by (document,
+    term) would give the same at the price of hashing and shuffling every term.
+    """
+    sorted_terms = df.select(doc, F.sort_array(term_array).alias("_s"))
+    at = F.col("_s")
+    n = F.size("_s")
+    new_run = lambda i: (i == 0) | (F.get(at, i) != F.get(at, i - 1))
+    # No filter on the array: it would be pushed to the scan and tokenize twice.
+    positions = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    runs = sorted_terms.select(doc, "_s", F.filter(positions, new_run).alias("_starts"))
+    entries = F.transform(
+        "_starts",
+        lambda start, k: F.struct(
+            F.get(at, start).alias("term"),
+            (F.coalesce(F.get(F.col("_starts"), k + 1), n) - start).cast("bigint").alias("tf"),
+        ),
     )
+    return runs.select(doc, F.inline(entries))
 
 
 def term_statistics(counts: DataFrame) -> DataFrame:
@@ -82,8 +96,8 @@ def tfidf(
     """(doc, term, weight): weighted terms, scaled so that a document has length 1.
 
     The vocabulary has at most ``k`` rows and is broadcast: terms outside it drop out
-    before the second shuffle. The length is taken inside the document's own row, so
-    scaling needs no shuffle beyond the one per document.
+    before anything is shuffled. The only shuffle over documents then brings the kept
+    terms of a document together, and its length is taken inside that row.
     """
     tokens = words(text)
     if stop_words:

@@ -142,18 +142,6 @@ def prepare(features_model: PipelineModel, df: DataFrame, classes: list[str] | N
     return out.select(*keep, F.col("root_cause"), "label", "features")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """At least one partition per core, for a cached frame that feeds a fit.
-
-    Only small inputs have fewer, so only they are shuffled. Rows are sorted inside the
-    partitions because bagging draws by position.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key).sortWithinPartitions(key)
-
-
 def with_class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     """Add ``weight`` = n / (classes * count); one row per class is joined."""
     return train.join(class_weights(train, label).select(label, "weight"), label)

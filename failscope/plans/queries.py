@@ -21,6 +21,7 @@ from ..operators import (
     alerts, clean, evaluate, features, flaky, models, oversample, reports, sampling, tables,
 )
 from ..operators.heal import heal
+from ..operators.parallel import spread
 from ..operators.triage import triage
 from ..session import configure
 from ..sources import readers, schemas, store
@@ -709,7 +710,7 @@ def class_weights(spark, d):
 # --- features ---------------------------------------------------------------------------
 
 def documents(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 @query
@@ -835,7 +836,7 @@ class Prepared:
 def sides(split: DataFrame, key: str):
     """(train, test) of a split, cached while a model is fitted."""
     split = split.persist()
-    train = models.spread(split, key).filter("side = 'train'").persist()
+    train = spread(split, key, ordered=True).filter("side = 'train'").persist()
     try:
         yield train, split.filter("side = 'test'")
     finally:
