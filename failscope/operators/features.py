@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from .parallel import few_values
 
 # Words are runs of two or more letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -123,8 +124,15 @@ def tfidf(
 def category_codes(df: DataFrame, column: str) -> DataFrame:
     """(category, code): distinct values in sorted order, from 0.
 
-    The distinct values of a category column are few; they alone are sorted.
+    Fitting looks the values up. If they are few, as categories are, the result is a
+    local table whose size Spark knows, so encoding broadcasts it. A column with very many
+    values stays distributed: its distinct values, not the rows, are then sorted.
     """
+    kind = dict(df.dtypes)[column]
+    known = few_values(df, column)
+    if known is not None:
+        rows = [(v, i) for i, v in enumerate(sorted(known))]
+        return df.sparkSession.createDataFrame(rows, f"category {kind}, code bigint")
     values = df.select(F.col(column).alias("category")).filter(F.col("category").isNotNull()).distinct()
     return values.withColumn("code", (F.row_number().over(Window.orderBy("category")) - 1).cast("bigint"))
 

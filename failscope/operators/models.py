@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from . import features
+from .parallel import few_values, per_group
 from .sampling import class_weights
 
 CATEGORY_COLUMNS = ["failure_stage", "severity", "failure_type"]
@@ -144,7 +145,8 @@ def prepare(features_model: PipelineModel, df: DataFrame, classes: list[str] | N
 
 def with_class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     """Add ``weight`` = n / (classes * count); one row per class is joined."""
-    return train.join(class_weights(train, label).select(label, "weight"), label)
+    weights = per_group(class_weights(train, label).select(label, "weight"), few_values(train, label))
+    return train.join(weights, label)
 
 
 # --- training --------------------------------------------------------------------------

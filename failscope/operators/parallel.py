@@ -1,8 +1,11 @@
-"""Partition counts."""
+"""Partition counts and size checks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+FEW = 1000
 
 
 def spread(df: DataFrame, key: str, ordered: bool = False) -> DataFrame:
@@ -18,3 +21,20 @@ def spread(df: DataFrame, key: str, ordered: bool = False) -> DataFrame:
         return df
     moved = df.repartition(cores, key)
     return moved.sortWithinPartitions(key) if ordered else moved
+
+
+def few_values(df: DataFrame, column: str, limit: int = FEW) -> list | None:
+    """The distinct values of a column if there are at most ``limit``, else None.
+
+    Reads one column, counts in the tasks, and takes at most ``limit`` + 1 values.
+    """
+    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
+    return None if len(rows) > limit else [r[0] for r in rows]
+
+
+def per_group(df: DataFrame, groups: list | None) -> DataFrame:
+    """A table with one row per group: broadcast if the groups are known to be few.
+
+    Otherwise Spark chooses the join, and splits hot groups while it runs.
+    """
+    return df if groups is None else F.broadcast(df)

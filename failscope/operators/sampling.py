@@ -6,15 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw, draw_below
+from .parallel import few_values, per_group
 
 PREFIX_DIGITS = 4
 
 
-def _few(df: DataFrame, classes: list | None) -> DataFrame:
-    """Broadcast a per-group table only if the groups come from a stated list."""
-    return df if classes is None else F.broadcast(df)
-
-
 def lowest_draws(
     df: DataFrame, group: str, key: str, seed: str, quota: DataFrame | Column,
     classes: list | None = None,
@@ -31,18 +27,20 @@ def lowest_draws(
     4. the full rows are compared with that bound.
 
     Steps 1 to 3 read the group and key columns only. The bounds have one row per
-    group. If ``classes`` lists the groups, they are broadcast, so full rows are never
-    shuffled, and rows of other groups are dropped; without it Spark picks the join.
-    ``quota`` is a number column, or a frame (group, quota) with one row per group.
+    group; if the groups are few they are broadcast, so full rows are never shuffled.
+    ``classes`` states the groups and drops rows of others; without it the groups are
+    looked up. Rows without a group are dropped. ``quota`` is a number column, or a frame (group, quota) with one row per group.
     """
     if classes is not None:
         df = df.filter(F.col(group).isin(list(classes)))
+    else:
+        classes = few_values(df, group)
     keys = df.select(
         group, F.struct(draw(seed, key).alias("d"), F.col(key).alias("k")).alias("_draw")
     ).withColumn("_prefix", F.substring("_draw.d", 1, PREFIX_DIGITS))
     counts = keys.groupBy(group, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     if isinstance(quota, DataFrame):
-        counts = counts.join(_few(quota.select(group, F.col("quota").alias("_quota")), classes), group)
+        counts = counts.join(per_group(quota.select(group, F.col("quota").alias("_quota")), classes), group)
     else:
         counts = counts.withColumn("_quota", quota)
     along = Window.partitionBy(group).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
@@ -58,18 +56,18 @@ def lowest_draws(
     )
     in_order = Window.partitionBy(group, "_prefix").orderBy("_draw")
     last = (
-        keys.join(_few(cuts, classes), group)
+        keys.join(per_group(cuts, classes), group)
         .filter(F.col("_prefix") == F.col("_cut"))
         .withColumn("_rank", F.row_number().over(in_order))
         .filter(F.col("_rank") == F.col("_quota") - F.col("_below"))
         .select(group, F.col("_draw").alias("_last"))
     )
-    bounds = cuts.join(_few(last, classes), group, "left").select(group, "_cut", "_last")
+    bounds = cuts.join(per_group(last, classes), group, "left").select(group, "_cut", "_last")
     own = F.struct(draw(seed, key).alias("d"), F.col(key).alias("k"))
     prefix = F.substring(draw(seed, key), 1, PREFIX_DIGITS)
     chosen = F.col("_cut").isNull() | (prefix < F.col("_cut")) | F.coalesce(own <= F.col("_last"), F.lit(False))
     return (
-        df.join(_few(bounds, classes), group)
+        df.join(per_group(bounds, classes), group)
         .withColumn("_chosen", chosen)
         .select(*df.columns, "_chosen")
     )

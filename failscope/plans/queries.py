@@ -22,6 +22,7 @@ from ..operators import (
 )
 from ..operators.heal import heal
 from ..operators.parallel import spread
+from ..operators.training import TrainingSet, report
 from ..operators.triage import triage
 from ..session import configure
 from ..sources import readers, schemas, store
@@ -806,32 +807,6 @@ def smote(spark, d):
 
 # --- models -----------------------------------------------------------------------------
 
-class Prepared:
-    """Feature stages and the two sides of the cleaned, capped and split failures.
-
-    The cap bounds what is cached here to 2,000 rows per class.
-    """
-
-    def __init__(self, spark, d):
-        columns = ["test_id", "root_cause", "error_message", "stack_trace"]
-        rows = failures_src(spark, d).select(*columns, *models.CATEGORY_COLUMNS, *models.NUMBER_COLUMNS)
-        self.capped = sampling.cap_per_class(rows, "root_cause", "test_id", classes=vocab.ROOT_CAUSES).persist()
-        self.rows = sampling.stratified_split(
-            self.capped, "root_cause", "test_id", classes=vocab.ROOT_CAUSES
-        ).persist()
-        self.train_rows = self.rows.filter("side = 'train'")
-        self.stages = models.fit_features(self.train_rows)
-        self.train = models.with_class_weights(models.prepare(self.stages, self.train_rows)).persist()
-
-    def test(self):
-        return models.prepare(self.stages, self.rows.filter("side = 'test'"))
-
-    def release(self):
-        self.train.unpersist()
-        self.rows.unpersist()
-        self.capped.unpersist()
-
-
 @contextmanager
 def sides(split: DataFrame, key: str):
     """(train, test) of a split, cached while a model is fitted."""
@@ -845,8 +820,10 @@ def sides(split: DataFrame, key: str):
 
 
 def with_prepared(fn):
+    """Pass the query a training set made of all failures, and release it afterwards."""
+
     def run(spark, d):
-        p = Prepared(spark, d)
+        p = TrainingSet(failures_src(spark, d))
         try:
             return fn(spark, d, p)
         finally:
@@ -856,15 +833,6 @@ def with_prepared(fn):
     return run
 
 
-def _report(model, test: DataFrame, name: str) -> DataFrame:
-    """All metrics of a model on the test side."""
-    names = F.array(*[F.lit(c) for c in sorted(vocab.ROOT_CAUSES)])
-    scored = model.transform(test).select(
-        F.col("root_cause").alias("truth"), F.get(names, F.col("prediction").cast("int")).alias("guess")
-    )
-    return evaluate.metrics_table(scored, name, "truth", "guess")
-
-
 @query
 @with_prepared
 def assemble_features(spark, d, p):
@@ -879,13 +847,13 @@ def assemble_features(spark, d, p):
 @query
 @with_prepared
 def train_random_forest(spark, d, p):
-    return _report(models.train_random_forest(p.train), p.test(), "RandomForest")
+    return report(models.train_random_forest(p.train), p.test(), "RandomForest")
 
 
 @query
 @with_prepared
 def train_gradient_boosting(spark, d, p):
-    return _report(models.train_gradient_boosting(p.train), p.test(), "GradientBoosting")
+    return report(models.train_gradient_boosting(p.train), p.test(), "GradientBoosting")
 
 
 @query
@@ -913,7 +881,7 @@ def vote_ensemble(spark, d, p):
     forest = models.train_random_forest(p.train)
     boosted = models.train_gradient_boosting(p.train, rounds=10)
     voted = models.vote_ensemble(
-        p.rows.filter("side = 'test'").withColumnRenamed("root_cause", "truth"), p.stages, [forest, boosted]
+        p.test_rows.withColumnRenamed("root_cause", "truth"), p.stages, [forest, boosted]
     )
     return evaluate.metrics_table(voted, "Ensemble", "truth", "root_cause")
 
@@ -958,8 +926,8 @@ def save_model(spark, d, p):
     path = store.scratch_dir(spark, "model")
     models.save_model(p.stages, forest, path)
     stages, loaded = models.load_model(path)
-    again = models.prepare(stages, p.rows.filter("side = 'test'"))
-    return _report(forest, p.test(), "fitted").unionByName(_report(loaded, again, "loaded"))
+    again = models.prepare(stages, p.test_rows)
+    return report(forest, p.test(), "fitted").unionByName(report(loaded, again, "loaded"))
 
 
 @query
