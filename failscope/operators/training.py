@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..sources.store import cut
 from . import evaluate, models
 from .oversample import smote
 from .sampling import cap_per_class, stratified_split
@@ -18,7 +19,7 @@ from .sampling import cap_per_class, stratified_split
 class TrainingSet:
     """Feature stages and the two sides of a cleaned training table.
 
-    The cap bounds what is cached here to ``cap`` rows per class. Features are fitted on
+    Each step is written as a table of at most ``cap`` rows per class. Features are fitted on
     the training side; ``fit_before_split`` fits them on both sides.
     """
 
@@ -28,13 +29,13 @@ class TrainingSet:
         rows = rows.select(*columns, *models.CATEGORY_COLUMNS, *models.NUMBER_COLUMNS)
         classes = vocab.ROOT_CAUSES
         self.key = key
-        self.capped = cap_per_class(rows, "root_cause", key, cap, classes=classes).persist()
-        self.rows = stratified_split(self.capped, "root_cause", key, test_share, classes=classes).persist()
+        capped = cut(cap_per_class(rows, "root_cause", key, cap, classes=classes), "capped")
+        self.rows = cut(stratified_split(capped, "root_cause", key, test_share, classes=classes), "split")
         self.train_rows = self.rows.filter("side = 'train'")
         self.test_rows = self.rows.filter("side = 'test'")
         fit_on = self.rows if fit_before_split else self.train_rows
         self.stages = models.fit_features(fit_on, key, message_terms, trace_terms)
-        plain = models.prepare(self.stages, self.train_rows, keep=(key,))
+        plain = cut(models.prepare(self.stages, self.train_rows, keep=(key,)), "features")
         self.train = models.with_class_weights(plain).persist()
 
     def test(self) -> DataFrame:
@@ -46,11 +47,10 @@ class TrainingSet:
         arrays = self.train.select("label", self.key, vector_to_array("features").alias("v"))
         made = smote(arrays, "label", self.key, "v", threshold, neighbors)
         new = made.select("label", array_to_vector("vector").alias("features"))
-        return models.with_class_weights(self.train.select("label", "features").unionByName(new))
+        return models.with_class_weights(cut(self.train.select("label", "features").unionByName(new), "balanced"))
 
     def release(self) -> None:
-        for df in (self.train, self.rows, self.capped):
-            df.unpersist()
+        self.train.unpersist()
 
 
 def report(model, test: DataFrame, name: str, classes: list[str] | None = None) -> DataFrame:

@@ -809,14 +809,13 @@ def smote(spark, d):
 
 @contextmanager
 def sides(split: DataFrame, key: str):
-    """(train, test) of a split, cached while a model is fitted."""
-    split = split.persist()
-    train = spread(split, key, ordered=True).filter("side = 'train'").persist()
+    """(train, test) of a split, written once; the training side is cached for the fit."""
+    rows = store.cut(split, "split")
+    train = spread(rows, key, ordered=True).filter("side = 'train'").persist()
     try:
-        yield train, split.filter("side = 'test'")
+        yield train, rows.filter("side = 'test'")
     finally:
         train.unpersist()
-        split.unpersist()
 
 
 def with_prepared(fn):

@@ -37,6 +37,18 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"failscope-{name}-")
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table and read it back.
+
+    Steps that use their input several times multiply its plan; after a few such steps
+    planning alone would take hours. The written table also survives lost executors.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table_rows(analyzed: DataFrame) -> dict[str, DataFrame]:
     """Triage result to the rows of the four tables.
 
