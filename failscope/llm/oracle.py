@@ -88,4 +88,26 @@ SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(
 FROM d LEFT JOIN g USING (doc_id)
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op7_line_dedup": OP7, "op9_secret_scan": OP9}
+OP8 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({lower('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END AS piece
+  FROM d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) t(i) WHERE len(w) > 0
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b USING (piece) WHERE a.doc_id < b.doc_id GROUP BY 1, 2
+),
+link AS (
+  SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 80 * (a.n + b.n - i)
+),
+ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM documents
+  UNION SELECT doc_id, y FROM reach JOIN ways ON r = x
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+"""
+
+ORACLES = {"op1_decontaminate": OP1, "op7_line_dedup": OP7, "op8_near_dedup": OP8, "op9_secret_scan": OP9}
