@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, secrets, sharding
+from . import decontaminate, langid, line_dedup, near_dedup, secrets, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,11 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents"), k=4)
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    held_out = F.coalesce(langid.remainder() == 0, F.lit(True))
+    return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
