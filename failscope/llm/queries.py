@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, near_dedup, secrets, sharding
+from . import decontaminate, langid, line_dedup, near_dedup, secrets, sharding, substring_dedup, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
     held_out = F.coalesce(langid.remainder() == 0, F.lit(True))
     return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages; documents without one have no row."""
+    rows = substring_dedup.repeats(table(spark, sf_dir, "documents"))
+    return rows.withColumn("dropped", F.col("keeper") != F.col("doc_id"))
+
+
+@query
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
