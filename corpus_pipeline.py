@@ -8,22 +8,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from failscope.llm import decontaminate, sharding
+from failscope.llm import decontaminate, langid, mixing, near_dedup, sharding
 from failscope.llm.common import cut, table
 
 
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in one of the languages that the table names.
+
+    Texts without a letter go, and so do those that no learned language explains better
+    than the others together.
+    """
+    return langid.accepted(docs, langid.fit(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest doc_id) of each group of near copies: five words, 0.8."""
+    return near_dedup.clean(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that sources, languages and topics come closer together."""
+    return mixing.sample(docs)
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their place in one of eight shards."""
     return sharding.assign(docs)
 
 
 STAGES = [
+    ("language_id", keep_known_languages),
+    ("near_dedup", drop_near_copies),
     ("benchmark_decontamination", drop_contaminated),
+    ("mixing", mix),
     ("sharding", shard),
 ]
 

@@ -124,4 +124,55 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES = {"op6_top_k": OP6, "op1_decontaminate": OP1, "op7_line_dedup": OP7, "op8_near_dedup": OP8, "op9_secret_scan": OP9}
+def share(symbols: str) -> str:
+    return f"(length(t) - length(translate(t, '{symbols}', ''))) / greatest(length(t), 1)"
+
+
+def raking(rounds: int) -> str:
+    """Unrolled rounds: one step per margin, each a window over the cells."""
+    steps, last = [], "w0"
+    for i in range(rounds):
+        for m in ("source", "lang", "topic"):
+            name = f"r{i}_{m}"
+            steps.append(
+                f"{name} AS MATERIALIZED (SELECT * EXCLUDE (h) REPLACE (CASE WHEN h > 0 THEN weight * to_{m} / h ELSE 0 END AS weight) "
+                f"FROM (SELECT *, sum(weight) OVER (PARTITION BY {m}) AS h FROM {last}))"
+            )
+            last = name
+    return ", ".join(steps) + f", raked AS (SELECT * FROM {last})"
+
+
+def target(margin: str) -> str:
+    return f"""to_{margin} AS (
+  SELECT value, p / sum(p) OVER () AS to_{margin} FROM (
+    SELECT {margin} AS value, pow(CAST(sum(tokens) AS DOUBLE), 0.7) AS p FROM cells GROUP BY 1 HAVING sum(tokens) > 0
+  )
+)"""
+
+
+OP4 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang, coalesce(text, '') AS t,
+    CASE WHEN {share('|')} >= 0.02 THEN 'table' WHEN {share('%$#*&<>{}[]=')} >= 0.05 THEN 'markup'
+      WHEN {share(UP)} >= 0.3 THEN 'loud' WHEN length(t) >= 1000 THEN 'prose' ELSE 'short' END AS topic,
+    CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents
+),
+cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY ALL),
+{target('source')}, {target('lang')}, {target('topic')},
+w0 AS (
+  SELECT source, lang, topic, tokens, coalesce(to_source, 0) AS to_source, coalesce(to_lang, 0) AS to_lang,
+    coalesce(to_topic, 0) AS to_topic, CAST(tokens AS DOUBLE) AS weight
+  FROM cells LEFT JOIN to_source a ON source = a.value LEFT JOIN to_lang b ON lang = b.value LEFT JOIN to_topic c ON topic = c.value
+),
+{raking(24)},
+p AS (
+  SELECT source, lang, topic, round(CASE WHEN tokens > 0
+    THEN least(1.0, 0.6 * (SELECT sum(tokens) FROM cells) * weight / tokens) ELSE 0 END, 6) AS p FROM raked
+)
+SELECT doc_id, source, lang, topic, n_tokens, p AS probability,
+  CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 < p AS kept
+FROM d JOIN p USING (source, lang, topic)
+"""
+
+ORACLES = {"op4_mix_sources": OP4, "op6_top_k": OP6, "op1_decontaminate": OP1, "op7_line_dedup": OP7, "op8_near_dedup": OP8, "op9_secret_scan": OP9}

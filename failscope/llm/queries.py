@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, near_dedup, secrets, sharding, substring_dedup, topk
+from . import (
+    decontaminate, html_extract, langid, line_dedup, mixing, near_dedup, secrets, sharding, substring_dedup, topk,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +76,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_extract.extract(table(spark, sf_dir, "pages"))
+    return rows.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.probabilities(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"),
+        "n_tokens", "probability", "kept",
+    )
