@@ -116,12 +116,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int
     maybe = (
         positions(words, sizes).select("doc_id", "text_key", "n_words", "p", "key").filter("key is not null")
         .join(prefix.select("wid", "len", "off", "key"), "key").filter(in_bounds)
-        .select("doc_id", "text_key", "wid", start.alias("start")).distinct()
+        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "wid", start.alias("start")).distinct()
     )
-    at_words = words.dropDuplicates(["doc_id", "text_key"])
     found = (
-        maybe.join(at_words, maybe.doc_id.eqNullSafe(at_words.doc_id) & (maybe.text_key == at_words.text_key))
-        .select(at_words.doc_id, at_words.text_key, "n_words", "words", "start", "wid")
+        maybe.join(words, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
+        .select("doc_id", "text_key", "n_words", "words", "start", "wid")
         .join(prefix.select("wid", "win", "len", "items"), "wid")
         .filter(F.slice("words", F.col("start") + 1, F.col("len")) == F.col("win"))
         .select("doc_id", "text_key", "n_words", "start", "len", "items")

@@ -62,6 +62,7 @@ DROP_TAGS = frozenset(
     "head title script style noscript template iframe object embed svg canvas audio video map form button select textarea "
     "input label nav footer aside menu dialog".split()
 )
+ASIDES = frozenset(("nav", "aside", "footer", "template", "noscript", "dialog"))
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 DROP_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent "
@@ -70,6 +71,10 @@ DROP_NAMES = frozenset(
     "comment comments commentlist disqus respond reply replies related recommended share sharing social pagination pager skip "
     "toolbar login search".split()
 )
+#: The part of these that also marks an ``article`` as no main text.
+DROP_ARTICLES = frozenset("ad advert comment comments reply replies related recommended promo sponsored respond".split())
+#: First words of class names that only say what a wrapper holds.
+HOLDS = frozenset("has with no without is not js".split())
 KEEP_TAGS = frozenset(("html", "body", "article", "main"))
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th b i em strong a span u s q code cite small sub sup br mark figcaption".split())
 
@@ -91,16 +96,26 @@ class Node:
         self.tag, self.drop, self.kids, self.digest = tag, drop, [], 0
 
 
+def named(value: str, names: frozenset) -> bool:
+    """Whether a class or id begins or ends with one of these words."""
+    for one in value.split():
+        words = [x.lower() for x in NAME.findall(one)]
+        if words and words[0] not in HOLDS and (words[0] in names or words[-1] in names):
+            return True
+    return False
+
+
 def marked(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element says that it is not main text."""
     if tag in DROP_TAGS or (tag == "header" and not in_article):
         return True
-    if not attributes or tag in KEEP_TAGS:
+    if not attributes or tag in ("html", "body", "main"):
         return False
+    names = DROP_ARTICLES if tag == "article" else DROP_NAMES - {"header"} if in_article else DROP_NAMES
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if any(x.lower() in DROP_NAMES for x in NAME.findall(value)):
+            if named(value, names):
                 return True
         elif name == "role":
             if value.strip().lower() in DROP_ROLES:
@@ -115,7 +130,7 @@ def marked(tag: str, attributes: str, in_article: bool) -> bool:
 def parse(page: str) -> Node:
     """The page as a tree. Text stays as it is written, in pieces among the children."""
     root = Node("#page", False)
-    stack, article, at = [root], 0, 0
+    stack, article, at, first = [root], 0, 0, True
     end = len(page)
     while at < end:
         m = TOKEN.match(page, at)
@@ -142,6 +157,11 @@ def parse(page: str) -> Node:
             close(stack, CLOSES[tag])
         node = Node(tag, marked(tag, m[3], article > 0))
         stack[-1].kids.append(node)
+        if first and tag in ("article", "main") and not node.drop:
+            # What holds the page's first article is no sidebar or form, whatever it is called.
+            first = False
+            for up in stack:
+                up.drop = up.drop and up.tag in ASIDES
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             node.kids.append(page[at : stop.start() if stop else end])
