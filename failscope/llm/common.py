@@ -61,6 +61,13 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def slices(batches, rows: int):
+    """Arrow batches in pieces of at most ``rows`` rows, so that a worker unpacks few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 @functools.lru_cache(maxsize=1)
 def mixer():
     """splitmix64's finisher on numpy arrays of uint64."""

@@ -33,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, shared_dir, slices
 
 SCALE = 256
 SEEDS = 1024
 QUERY_BLOCK = 8192
-ROW_BLOCK = 512
+ROW_BLOCK = 256
+PAIRS_AT_ONCE = 1 << 16
 LEVELS = (0.125, 0.25, 0.5)
 SLACK = 1e-9
 
@@ -113,8 +114,9 @@ class Search:
             return False
         turned = x @ self.turn
         first = self.steps[0]
-        for at in range(0, len(live), 2048):
-            own = live[at : at + 2048]
+        step = max(1, PAIRS_AT_ONCE // len(ids))
+        for at in range(0, len(live), step):
+            own = live[at : at + step]
             part = self.rotated[own, :first] @ turned[:, :first].T
             i, j = np.nonzero(self.over(part, 0, own[:, None], np.linalg.norm(turned[:, first:], axis=1)[None, :], norm[None, :]))
             qi, part = own[i], part[i, j]
@@ -149,8 +151,8 @@ def search(rows: DataFrame, queries: DataFrame, seeds: DataFrame, turn: np.ndarr
     got = queries.select("id", "v").toArrow()
     own = Search(got.column("id").to_numpy(), matrix(got.column("v"), d), turn, k)
     first = seeds.select("id", "v").toArrow()
-    if first.num_rows:
-        own.add(first.column("id").to_numpy(), matrix(first.column("v"), d))
+    for part in slices(first.to_batches(), ROW_BLOCK):
+        own.add(part.column(0).to_numpy(), matrix(part.column(1), d))
     # The seeds only give bounds; tasks meet them again among their own rows.
     sent = rows.sparkSession.sparkContext.broadcast((own.ids, own.q, turn, own.bound))
 
