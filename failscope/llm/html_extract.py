@@ -35,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fits
+from .common import cut, fits, slices
 
 LEAST_PAGES = 5
 LEAST_SHARE = 0.2
 BROADCAST_HOSTS = 50_000
+BATCH_ROWS = 200
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -271,7 +272,7 @@ def subtrees(pages: DataFrame) -> DataFrame:
     """(host, digest, title): subtrees that might be template; digest 0 stands for the page."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, BATCH_ROWS):
             hosts, digests, titles = [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 root = parse(page or "")
@@ -305,7 +306,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     rows = rows.join(hosts, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "template")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, BATCH_ROWS):
             texts = [
                 main_text(page or "", frozenset(template or ()))
                 for page, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
