@@ -42,8 +42,13 @@ def lookup(key: Column, table: dict, default=None) -> Column:
 
 
 def title_case(c: str | Column) -> Column:
-    """``network_api_error`` -> ``Network Api Error``."""
-    return F.initcap(F.replace(col(c), F.lit("_"), F.lit(" ")))
+    """``network_api_error`` -> ``Network Api Error``: every run of letters gets a capital.
+
+    ``initcap`` alone starts words at white space only.
+    """
+    text = F.lower(F.replace(col(c), F.lit("_"), F.lit(" ")))
+    runs = F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def percent_text(share: str | Column) -> Column:
@@ -79,11 +84,12 @@ def hex_bound(share: float, digits: int = 6) -> str:
     return format(min(int(share * 16**digits), 16**digits - 1), f"0{digits}x")
 
 
-def make_id(prefix: str, key: str | Column, digits: int = 16) -> Column:
+def make_id(prefix: str, key: str | Column, digits: int = 32) -> Column:
     """``H-`` + upper-case hash of the row's own key.
 
-    A random id would change when a lost task is run again. Eight digits, the
-    documented form, start to collide near 2**16 rows, hence 16 by default.
+    A random id would change when a lost task is run again. Ids are unique keys of stored
+    tables, so all 32 digits are the default; eight, the short display form, start to
+    collide near 2**16 rows.
     """
     return F.concat(F.lit(f"{prefix}-"), F.upper(F.substring(F.md5(col(key).cast("string")), 1, digits)))
 

@@ -62,6 +62,15 @@ def playbook_field(cause: Column, field: str) -> Column:
     return lookup(cause, {c: row[field] for c, row in vocab.PLAYBOOK.items()})
 
 
+def playbook_row(cause: Column) -> Column:
+    """All playbook fields of a cause as one struct, from a constant map."""
+    rows = []
+    for c, row in vocab.PLAYBOOK.items():
+        fields = [F.lit(v).cast("boolean" if isinstance(v, bool) else "string").alias(f) for f, v in row.items()]
+        rows += [F.lit(c), F.struct(*fields)]
+    return F.element_at(F.create_map(*rows), cause)
+
+
 def fallback_old_value(cause: Column, old_value) -> Column:
     """Old value for causes without extraction; here "N/A" counts as a value."""
     return first_filled(old_value, default=lookup(cause, vocab.OLD_VALUE_DEFAULTS))

@@ -181,6 +181,15 @@ CATEGORY_CAUSES = {
 }
 CATEGORY_OTHER = "environment_failure"
 
+# Columns of the training set, in file order.
+TRAINING_FIELDS = [
+    "test_id", "test_name", "pipeline", "browser", "os", "language",
+    "cloud_provider", "branch", "root_cause", "failure_stage", "failure_type",
+    "error_message", "stack_trace", "severity", "old_value", "new_value",
+    "retry_count", "test_duration_sec", "cpu_usage_pct", "memory_usage_mb",
+    "is_flaky_test", "recommendation", "developer_alert", "timestamp",
+]
+
 GENERIC_MESSAGES = [
     "An unexpected error occurred during test execution.",
     "The operation timed out after 60 seconds.",

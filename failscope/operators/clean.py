@@ -76,15 +76,6 @@ def clean_training(df: DataFrame) -> DataFrame:
 
 # --- training set preparation --------------------------------------------------------
 
-TRAINING_FIELDS = [
-    "test_id", "test_name", "pipeline", "browser", "os", "language",
-    "cloud_provider", "branch", "root_cause", "failure_stage", "failure_type",
-    "error_message", "stack_trace", "severity", "old_value", "new_value",
-    "retry_count", "test_duration_sec", "cpu_usage_pct", "memory_usage_mb",
-    "is_flaky_test", "recommendation", "developer_alert", "timestamp",
-]
-
-
 def category_map(failure_type: str | Column) -> Column:
     """Root cause of a CI failure type."""
     c = F.col(failure_type) if isinstance(failure_type, str) else failure_type
@@ -116,7 +107,7 @@ def remap_runs_schema(runs: DataFrame) -> DataFrame:
         "recommendation": F.lit(""),
         "developer_alert": text("incident_created", "False"),
     }
-    return runs.select(*[renamed.get(f, text(f)).alias(f) for f in TRAINING_FIELDS])
+    return runs.select(*[renamed.get(f, text(f)).alias(f) for f in vocab.TRAINING_FIELDS])
 
 
 def generic_message_noise(

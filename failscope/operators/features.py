@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from .parallel import few_values
+from ..sources.store import cut
 
 # Words are runs of two or more letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -124,17 +124,21 @@ def tfidf(
 def category_codes(df: DataFrame, column: str) -> DataFrame:
     """(category, code): distinct values in sorted order, from 0.
 
-    Fitting looks the values up. If they are few, as categories are, the result is a
-    local table whose size Spark knows, so encoding broadcasts it. A column with very many
-    values stays distributed: its distinct values, not the rows, are then sorted.
+    Distinct values are dealt out by range and sorted in their partition; a value's code is
+    its place there plus what the partitions before it hold. Written once, so that both
+    uses see the same partitions; Spark then knows its size and broadcasts small ones.
     """
-    kind = dict(df.dtypes)[column]
-    known = few_values(df, column)
-    if known is not None:
-        rows = [(v, i) for i, v in enumerate(sorted(known))]
-        return df.sparkSession.createDataFrame(rows, f"category {kind}, code bigint")
     values = df.select(F.col(column).alias("category")).filter(F.col("category").isNotNull()).distinct()
-    return values.withColumn("code", (F.row_number().over(Window.orderBy("category")) - 1).cast("bigint"))
+    at = F.monotonically_increasing_id()
+    placed = cut(
+        values.repartitionByRange("category").sortWithinPartitions("category")
+        .select("category", F.shiftright(at, 33).alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")),
+        "codes",
+    )
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition.
+    starts = placed.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_part").select("category", (F.col("_place") + F.col("_start")).alias("code"))
 
 
 def ordinal_encode(df: DataFrame, fitted: dict[str, DataFrame]) -> DataFrame:

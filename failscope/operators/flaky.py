@@ -61,16 +61,18 @@ def flip_rate(
     time: str = "created_at",
     tie: str = "id",
     outcome: str = "outcome",
-    slice_width: str = "1 hour",
+    slice_seconds: int = 3600,
 ) -> DataFrame:
     """Share of neighbouring outcomes that differ: (test, runs, flips, flip_rate).
 
     A hot test must not end up in one task. Outcomes are compared inside time slices
     of a test first; then only the first and last outcome of each slice are
-    compared along the test. The sum of both is exact for every slice width.
+    compared along the test. The sum of both is exact for every slice width. Outcomes
+    without a time come first, in the order of ``tie``.
     """
+    at = F.unix_micros(F.col(time).cast("timestamp"))
     rows = df.select(
-        test, time, tie, outcome, F.window(F.col(time), slice_width)["start"].alias("_slice")
+        test, time, tie, outcome, F.floor(at / F.lit(slice_seconds * 1_000_000)).alias("_slice")
     )
     inside = Window.partitionBy(test, "_slice").orderBy(time, tie)
     moment = F.struct(time, tie)

@@ -14,7 +14,7 @@ def heal(
     key: str = "test_id",
     message: str = "error_message",
     old_value: str = "old_locator",
-    id_digits: int = 16,
+    id_digits: int = 32,
     into: str = "healing",
 ) -> DataFrame:
     """Add the struct column ``into`` with the repair suggestion of every row.
@@ -23,7 +23,7 @@ def heal(
     bad record must not fail the job.
     """
     gap = repair.missing_input("root_cause", message, old_value)
-    cause = repair.playbook_cause("root_cause")
+    cause, play = F.col("_cause"), F.col("_play")
     locator = repair.extract_locator(message, old_value)
     wait = repair.extract_wait_call(message, old_value)
 
@@ -35,7 +35,7 @@ def heal(
     new = (
         F.when(cause == "locator_issue", repair.normalize_locator(F.col("_old")))
         .when(cause == "synchronization_issue", repair.upgrade_wait(F.col("_old")))
-        .otherwise(repair.playbook_field(cause, "new_value"))
+        .otherwise(play["new_value"])
     )
     error = F.struct(
         F.lit("H-ERROR").alias("healing_id"),
@@ -48,15 +48,16 @@ def heal(
     )
     advice = F.struct(
         make_id("H", key, id_digits).alias("healing_id"),
-        repair.playbook_field(cause, "repair_type").alias("repair_type"),
+        play["repair_type"].alias("repair_type"),
         F.col("_old").alias("old_value"),
         new.alias("new_value"),
-        repair.playbook_field(cause, "recommendation").alias("recommendation"),
-        repair.playbook_field(cause, "status").alias("status"),
-        repair.playbook_field(cause, "developer_alert").alias("developer_alert"),
+        play["recommendation"].alias("recommendation"),
+        play["status"].alias("status"),
+        play["developer_alert"].alias("developer_alert"),
     )
     return (
-        df.withColumns({"_gap": gap, "_old": old})
+        df.withColumns({"_gap": gap, "_cause": repair.playbook_cause("root_cause")})
+        .withColumns({"_play": repair.playbook_row(cause), "_old": old})
         .withColumn(into, F.when(F.col("_gap").isNotNull(), error).otherwise(advice))
-        .drop("_gap", "_old")
+        .drop("_gap", "_cause", "_play", "_old")
     )

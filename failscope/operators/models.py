@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from . import features
-from .parallel import few_values, per_group
+from .parallel import FEW, few_values, per_group
 from .sampling import class_weights
 
 CATEGORY_COLUMNS = ["failure_stage", "severity", "failure_type"]
@@ -78,7 +78,7 @@ def text_stages(
     if not names:  # no text at all: one term that never occurs keeps the width positive
         names, weights = ["\u0000"], [1.0]
 
-    raw = f"regexp_extract_all(lower({text}), '{features.WORD.replace(chr(92), chr(92) * 2)}', 0)"
+    raw = f"regexp_extract_all(lower(coalesce({text}, '')), '{features.WORD.replace(chr(92), chr(92) * 2)}', 0)"
     if stop_words:
         listed = ", ".join("'" + w.replace("'", "\\'") + "'" for w in stop_words)
         raw = f"filter({raw}, t -> t NOT IN ({listed}))"
@@ -103,12 +103,27 @@ def text_stages(
     return stages
 
 
+def default_stage() -> SQLTransformer:
+    """``<column>_given`` per category and number, with the input default where it is null."""
+    filled = [f"coalesce({c}, '{vocab.INPUT_DEFAULTS[c]}') AS {c}_given" for c in CATEGORY_COLUMNS]
+    filled += [f"coalesce(cast({c} AS double), {float(vocab.INPUT_DEFAULTS[c])}D) AS {c}_given" for c in NUMBER_COLUMNS]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")
+
+
+def few_labels(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df``, after a check that its indexed columns have few values: these go to the driver."""
+    for c in columns:
+        if few_values(df, c) is None:
+            raise ValueError(f"{c} has more than {FEW} values; it is no category")
+    return df
+
+
 def category_stages(train: DataFrame, columns: list[str]) -> list:
     """Fitted stages: sorted category index per column, -1 for unseen values."""
     outs = [f"{c}_index" for c in columns]
     indexer = StringIndexer(
-        inputCols=columns, outputCols=outs, stringOrderType="alphabetAsc", handleInvalid="keep"
-    ).fit(train)
+        inputCols=[f"{c}_given" for c in columns], outputCols=outs, stringOrderType="alphabetAsc", handleInvalid="keep"
+    ).fit(few_labels(train, [f"{c}_given" for c in columns]))
     codes = ", ".join(
         f"CASE WHEN {o} >= {len(seen)} THEN -1.0D ELSE {o} + 0.0D END AS {c}_code"
         for c, o, seen in zip(columns, outs, indexer.labelsArray)
@@ -119,12 +134,16 @@ def category_stages(train: DataFrame, columns: list[str]) -> list:
 def fit_features(
     train: DataFrame, key: str = "test_id", message_terms: int = 500, trace_terms: int = 200
 ) -> PipelineModel:
-    """Text, category and number features in one sparse vector ``features``."""
-    stages = text_stages(train, key, "error_message", message_terms)
+    """Text, category and number features in one sparse vector ``features``.
+
+    Null texts count as empty, null categories and numbers as the input defaults.
+    """
+    fill = default_stage()
+    stages = [fill, *text_stages(train, key, "error_message", message_terms)]
     stages += text_stages(train, key, "stack_trace", trace_terms)
-    stages += category_stages(train, CATEGORY_COLUMNS)
+    stages += category_stages(fill.transform(train), CATEGORY_COLUMNS)
     inputs = ["error_message_tfidf", "stack_trace_tfidf"]
-    inputs += [f"{c}_code" for c in CATEGORY_COLUMNS] + NUMBER_COLUMNS
+    inputs += [f"{c}_code" for c in CATEGORY_COLUMNS] + [f"{c}_given" for c in NUMBER_COLUMNS]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     return PipelineModel(stages)
 
@@ -190,8 +209,8 @@ def train_text_baseline(
     stop = features.english_stop_words(train.sparkSession)
     stages = text_stages(train, key, text, k, bigrams=False, sublinear=False, stop_words=stop)
     labels = StringIndexer(
-        inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"
-    ).fit(train)
+        inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"
+    ).fit(few_labels(train, [label]))
     lr = LogisticRegression(
         featuresCol=f"{text}_tfidf", labelCol="label", maxIter=iterations,
         # Same penalty as an inverse strength of 1 summed over all rows.
@@ -204,7 +223,10 @@ def train_text_baseline(
 def train_structured_baseline(
     train: DataFrame, label: str = "failure_type", trees: int = 100, depth: int = 30, seed: int = 42
 ) -> PipelineModel:
-    """Label-encoded columns as plain numbers, then a random forest."""
+    """Label-encoded columns as plain numbers, then a random forest.
+
+    A cell that is no number counts as zero, so that every row gets a prediction.
+    """
     text, numbers = STRUCTURED_TEXT, STRUCTURED_NUMBERS
     indexer = StringIndexer(
         inputCols=text, outputCols=[f"{c}_index" for c in text], stringOrderType="alphabetAsc",
@@ -212,15 +234,15 @@ def train_structured_baseline(
     )
     # Adding zero drops the category metadata: the codes are used as numbers.
     plain = ", ".join([f"{c}_index + 0.0D AS {c}_code" for c in text]
-                      + [f"try_cast({c} AS double) AS {c}_num" for c in numbers])
+                      + [f"coalesce(try_cast({c} AS double), 0.0D) AS {c}_num" for c in numbers])
     cast = SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__")
     assemble = VectorAssembler(
         inputCols=[f"{c}_code" for c in text] + [f"{c}_num" for c in numbers],
-        outputCol="features", handleInvalid="skip",
+        outputCol="features", handleInvalid="keep",
     )
-    labels = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")
+    labels = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep")
     rf = _forest(trees, depth, seed)
-    return Pipeline(stages=[indexer, cast, assemble, labels, rf]).fit(train)
+    return Pipeline(stages=[indexer, cast, assemble, labels, rf]).fit(few_labels(train, [*text, label]))
 
 
 def tune_grid(train: DataFrame, trees=(50, 100), depths=(10, 20), folds: int = 3, parallelism: int = 4):

@@ -8,19 +8,15 @@ from pyspark.sql import functions as F
 FEW = 1000
 
 
-def spread(df: DataFrame, key: str, ordered: bool = False) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
     """At least one partition per core for work that is heavy per row.
 
     A small file comes as one partition and would keep one core busy. Inputs with
-    enough partitions, that is all large ones, are returned as they are; only small ones
-    are shuffled. ``ordered`` sorts inside the partitions, for fits that draw by position.
-    Apply it to a scan or a cached frame, as counting partitions plans the input.
+    enough partitions, that is all large ones, are returned as they are. Rows only move;
+    results do not depend on it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    moved = df.repartition(cores, key)
-    return moved.sortWithinPartitions(key) if ordered else moved
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def few_values(df: DataFrame, column: str, limit: int = FEW) -> list | None:
@@ -37,4 +33,4 @@ def per_group(df: DataFrame, groups: list | None) -> DataFrame:
 
     Otherwise Spark chooses the join, and splits hot groups while it runs.
     """
-    return df if groups is None else F.broadcast(df)
+    return df if groups is None or len(groups) > FEW else F.broadcast(df)

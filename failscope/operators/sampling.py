@@ -28,46 +28,46 @@ def lowest_draws(
 
     Steps 1 to 3 read the group and key columns only. The bounds have one row per
     group; if the groups are few they are broadcast, so full rows are never shuffled.
-    ``classes`` states the groups and drops rows of others; without it the groups are
-    looked up. Rows without a group are dropped. ``quota`` is a number column, or a frame (group, quota) with one row per group.
+    Rows without a group form a group of their own; no row is dropped. ``classes`` states
+    the groups, which saves looking them up. ``quota`` is a number column, or a frame
+    (group, quota) with one row per group.
     """
-    if classes is not None:
-        df = df.filter(F.col(group).isin(list(classes)))
-    else:
-        classes = few_values(df, group)
+    classes = few_values(df, group) if classes is None else classes
+    named = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("none")).alias("_group")
     keys = df.select(
-        group, F.struct(draw(seed, key).alias("d"), F.col(key).alias("k")).alias("_draw")
+        named, F.struct(draw(seed, key).alias("d"), F.col(key).alias("k")).alias("_draw")
     ).withColumn("_prefix", F.substring("_draw.d", 1, PREFIX_DIGITS))
-    counts = keys.groupBy(group, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    counts = keys.groupBy("_group", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     if isinstance(quota, DataFrame):
-        counts = counts.join(per_group(quota.select(group, F.col("quota").alias("_quota")), classes), group)
+        counts = counts.join(per_group(quota.select(named, F.col("quota").alias("_quota")), classes), "_group")
     else:
         counts = counts.withColumn("_quota", quota)
-    along = Window.partitionBy(group).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy("_group").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
     over = F.col("_sum") > F.col("_quota")
     cuts = (
         counts.withColumn("_sum", F.sum("_n").over(along))
-        .groupBy(group)
+        .groupBy("_group")
         .agg(
             F.min(F.when(over, F.col("_prefix"))).alias("_cut"),
             F.coalesce(F.max(F.when(~over, F.col("_sum"))), F.lit(0)).alias("_below"),
             F.first("_quota").alias("_quota"),
         )
     )
-    in_order = Window.partitionBy(group, "_prefix").orderBy("_draw")
+    in_order = Window.partitionBy("_group", "_prefix").orderBy("_draw")
     last = (
-        keys.join(per_group(cuts, classes), group)
+        keys.join(per_group(cuts, classes), "_group")
         .filter(F.col("_prefix") == F.col("_cut"))
         .withColumn("_rank", F.row_number().over(in_order))
         .filter(F.col("_rank") == F.col("_quota") - F.col("_below"))
-        .select(group, F.col("_draw").alias("_last"))
+        .select("_group", F.col("_draw").alias("_last"))
     )
-    bounds = cuts.join(per_group(last, classes), group, "left").select(group, "_cut", "_last")
+    bounds = cuts.join(per_group(last, classes), "_group", "left").select("_group", "_cut", "_last")
     own = F.struct(draw(seed, key).alias("d"), F.col(key).alias("k"))
     prefix = F.substring(draw(seed, key), 1, PREFIX_DIGITS)
     chosen = F.col("_cut").isNull() | (prefix < F.col("_cut")) | F.coalesce(own <= F.col("_last"), F.lit(False))
     return (
-        df.join(per_group(bounds, classes), group)
+        df.withColumn("_group", named)
+        .join(per_group(bounds, classes), "_group")
         .withColumn("_chosen", chosen)
         .select(*df.columns, "_chosen")
     )
@@ -77,7 +77,12 @@ def cap_per_class(
     df: DataFrame, label: str, key: str, cap: int = 2000, seed: str = "cap",
     classes: list | None = None,
 ) -> DataFrame:
-    """At most ``cap`` rows per label, the same ones on every run."""
+    """At most ``cap`` rows per label, the same ones on every run.
+
+    With ``classes``, rows of other labels or none are left out.
+    """
+    if classes is not None:
+        df = df.filter(F.col(label).isin(list(classes)))
     return lowest_draws(df, label, key, seed, F.lit(cap), classes).filter("_chosen").drop("_chosen")
 
 
@@ -90,7 +95,7 @@ def stratified_split(
     df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: str = "split",
     exact: bool = True, classes: list | None = None,
 ) -> DataFrame:
-    """Add ``side`` ("train" / "test").
+    """Add ``side`` ("train" / "test") to every row.
 
     Exact: the test side gets the rounded share of every label. Otherwise a draw
     decides row by row, without any shuffle, and the share holds approximately.

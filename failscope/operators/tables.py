@@ -45,11 +45,15 @@ def incident_view(
 def append_rows(existing: DataFrame, incoming: DataFrame, table: str = "failures") -> DataFrame:
     """Rows of ``incoming`` that may be inserted: complete, and new by unique key.
 
-    Of several new rows with one key the lowest id is kept. The rank filter turns into
+    A required column that ``incoming`` lacks is an error; rows that leave one empty are
+    left out. Of several new rows with one key the lowest id is kept. The rank filter turns into
     a group limit below the shuffle, so a key with very many copies stays cheap.
     """
     schema = schemas.TABLES[table]
-    required = [f.name for f in schema.fields if not f.nullable and f.name in incoming.columns]
+    required = [f.name for f in schema.fields if not f.nullable]
+    absent = sorted(set(required) - set(incoming.columns))
+    if absent:
+        raise ValueError(f"{table}: required columns are missing: {', '.join(absent)}")
     complete = incoming.na.drop("any", subset=required)
     key = schemas.UNIQUE_KEYS.get(table)
     if key is None:

@@ -19,24 +19,30 @@ from .sampling import cap_per_class, stratified_split
 class TrainingSet:
     """Feature stages and the two sides of a cleaned training table.
 
-    Each step is written as a table of at most ``cap`` rows per class. Features are fitted on
-    the training side; ``fit_before_split`` fits them on both sides.
+    All rows are split; only the training side that a classifier is fitted on is bounded,
+    to ``cap`` rows per class, and kept. The test side and ``features`` cover every row.
+    Features are fitted on the bounded training side; ``fit_before_split`` fits them on as
+    many rows of both sides.
     """
 
     def __init__(self, rows: DataFrame, key: str = "test_id", cap: int = 2000, test_share: float = 0.2,
                  fit_before_split: bool = False, message_terms: int = 500, trace_terms: int = 200):
         columns = [key, "root_cause", "error_message", "stack_trace"]
-        rows = rows.select(*columns, *models.CATEGORY_COLUMNS, *models.NUMBER_COLUMNS)
+        self.rows = rows.select(*columns, *models.CATEGORY_COLUMNS, *models.NUMBER_COLUMNS)
         classes = vocab.ROOT_CAUSES
         self.key = key
-        capped = cut(cap_per_class(rows, "root_cause", key, cap, classes=classes), "capped")
-        self.rows = cut(stratified_split(capped, "root_cause", key, test_share, classes=classes), "split")
-        self.train_rows = self.rows.filter("side = 'train'")
-        self.test_rows = self.rows.filter("side = 'test'")
-        fit_on = self.rows if fit_before_split else self.train_rows
+        split = stratified_split(self.rows, "root_cause", key, test_share, classes=classes)
+        self.test_rows = split.filter("side = 'test'")
+        self.train_rows = bounded(split.filter("side = 'train'"), "root_cause", key, cap, classes)
+        fit_on = bounded(self.rows, "root_cause", key, cap, classes) if fit_before_split else self.train_rows
         self.stages = models.fit_features(fit_on, key, message_terms, trace_terms)
-        plain = cut(models.prepare(self.stages, self.train_rows, keep=(key,)), "features")
-        self.train = models.with_class_weights(plain).persist()
+        if fit_before_split:
+            fit_on.unpersist()
+        self.train = models.with_class_weights(models.prepare(self.stages, self.train_rows, keep=(key,))).persist()
+
+    def features(self) -> DataFrame:
+        """Features of all rows, also of those without a known class."""
+        return self.stages.transform(self.rows).select(self.key, "features")
 
     def test(self) -> DataFrame:
         return models.prepare(self.stages, self.test_rows, keep=(self.key,))
@@ -51,6 +57,14 @@ class TrainingSet:
 
     def release(self) -> None:
         self.train.unpersist()
+        self.train_rows.unpersist()
+
+
+def bounded(rows: DataFrame, label: str, key: str, cap: int = 2000, classes: list | None = None) -> DataFrame:
+    """At most ``cap`` rows per class to fit on, kept, in an order that does not depend on
+    the input's partitions: fits draw their rows by position."""
+    some = cap_per_class(rows, label, key, cap, classes=classes)
+    return some.repartition(key).sortWithinPartitions(key).persist()
 
 
 def report(model, test: DataFrame, name: str, classes: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions import vocab
-from ..operators.clean import TRAINING_FIELDS
+from ..functions.vocab import TRAINING_FIELDS
 from ..operators.features import WORD
 from .views import AS_OF, VIEWS, view_sql
 
@@ -54,7 +54,7 @@ def new_wait(expr: str) -> str:
     return case(expr, vocab.WAIT_UPGRADES, q(vocab.WAIT_DEFAULT_UPGRADE))
 
 
-def make_id(prefix: str, key: str, digits: int = 16) -> str:
+def make_id(prefix: str, key: str, digits: int = 32) -> str:
     return f"concat('{prefix}-', upper(substr(md5({key}), 1, {digits})))"
 
 
@@ -259,8 +259,26 @@ TEXT_FIELDS = {
 PARSED = f"SELECT *, CASE WHEN {JSON_OK} THEN 'json' ELSE 'text' END AS format, CASE WHEN json_valid(text) THEN CAST(text AS JSON) END AS j FROM uploads_src"
 
 
-def cap_rank(src: str, seed: str) -> str:
-    return f"row_number() OVER (PARTITION BY root_cause ORDER BY {draw(seed, 'test_id')}, test_id)"
+def cap_rank(src: str, seed: str, label: str = "root_cause", key: str = "test_id") -> str:
+    return f"row_number() OVER (PARTITION BY {label} ORDER BY {draw(seed, key)}, {key})"
+
+
+def split(src: str, label: str = "root_cause", key: str = "test_id") -> str:
+    """All rows of a table with their side of the exact split."""
+    return (
+        f"SELECT *, CASE WHEN rn <= CAST(floor(n * CAST(0.2 AS DOUBLE) + 0.5) AS BIGINT) THEN 'test' ELSE 'train' END AS side FROM "
+        f"(SELECT *, {cap_rank(src, 'split', label, key)} AS rn, count(*) OVER (PARTITION BY {label}) AS n FROM {src})"
+    )
+
+
+def judged(label: str) -> str:
+    return f"SELECT {label} AS class, count(*) AS support, true AS in_range, true AS beats_majority FROM sides WHERE side = 'test' GROUP BY 1"
+
+
+def title(text: str) -> str:
+    """Capital at the start of each run of letters."""
+    runs = f"regexp_extract_all(lower(replace({text}, '_', ' ')), '[a-z]+|[^a-z]+')"
+    return f"array_to_string(list_transform({runs}, lambda p: concat(upper(p[1]), p[2:])), '')"
 
 
 def page(cols: str, src: str, order: str, number_: int, size: int = 10) -> str:
@@ -337,7 +355,28 @@ def oracles(stop_words: list[str]) -> dict[str, str]:
     totals = "SELECT " + ", ".join(
         f"(SELECT count(*) FROM {t}) AS total_{t}" for t in ("failures", "healing_actions", "flaky_tests", "notifications")
     )
-    o["persist_fanout"] = o["summary_counts"] = o["stream_triage"] = sql(totals)
+    o["summary_counts"] = sql(totals)
+    o["persist_fanout"] = o["stream_triage"] = sql(" UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, id, md5(concat_ws('|', {', '.join(cols)})) AS row_md5 FROM {t}" for t, cols in {
+            "failures": ["test_id", "test_name", "pipeline", "status", "root_cause", "confidence", "healing", "logs", "stack_trace", "recommendation"],
+            "healing_actions": ["healing_id", "failure_test_id", "test_name", "repair_type", "old_value", "new_value", "status"],
+            "flaky_tests": ["test_code", "test_name", "instability_score", "risk_level"],
+            "notifications": ["failure_test_id", "test_name", "root_cause", "message", "target"],
+        }.items()
+    ))
+    o["stream_scored"] = sql("SELECT test_id, true AS known_cause FROM failures_src")
+    o["failures_of_days"] = sql(
+        "SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS failures FROM failures_src "
+        "WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-11' AND DATE '2024-01-20' GROUP BY 1"
+    )
+    third = "(SELECT test_id FROM known_keys WHERE CAST(substr(test_id, 6) AS BIGINT) % 3 = 0)"
+    o["changed_store"] = sql(
+        "SELECT 'failures' AS table_name, id, CASE WHEN test_id IN (SELECT test_id FROM known_keys) THEN 'HEALED' ELSE status END AS status "
+        f"FROM failures WHERE test_id NOT IN {third} UNION ALL SELECT 'healing_actions', id, CASE WHEN failure_test_id IN "
+        f"(SELECT test_id FROM known_keys) THEN 'Applied' ELSE status END FROM healing_actions WHERE failure_test_id NOT IN {third} "
+        f"UNION ALL SELECT 'flaky_tests', id, NULL FROM flaky_tests WHERE test_code NOT IN {third} "
+        f"UNION ALL SELECT 'notifications', id, NULL FROM notifications WHERE failure_test_id NOT IN {third}"
+    )
 
     o["drop_null_target"] = sql("SELECT id, root_cause FROM dirty_src WHERE root_cause IS NOT NULL")
     o["normalize_label"] = sql(f"SELECT id, lower({strip('root_cause')}) AS root_cause FROM dirty_src")
@@ -373,9 +412,8 @@ def oracles(stop_words: list[str]) -> dict[str, str]:
         merged=f"SELECT {merged_cols} FROM remapped UNION ALL SELECT {merged_cols} FROM noisy2",
         noisy3=label_noise("merged", "merged"),
     )
-    o["title_case_cause"] = sql(
-        "SELECT id, " + case("root_cause", {c: c.replace("_", " ").title() for c in vocab.ROOT_CAUSES}) + " AS title FROM failures_src"
-    )
+    mixed = "concat('db-', root_cause, '_3x''s')"
+    o["title_case_cause"] = sql(f"SELECT id, {title('root_cause')} AS title, {title(mixed)} AS mixed FROM failures_src")
 
     o["extract_locator"] = sql(f"SELECT id, {LOCATOR} AS locator FROM failures_src")
     o["normalize_locator"] = sql(f"SELECT id, {selector(LOCATOR)} AS selector FROM failures_src")
@@ -471,7 +509,7 @@ def oracles(stop_words: list[str]) -> dict[str, str]:
     o["failure_trend"] = trend(AS_OF, False)
     o["failure_trend_fallback"] = trend("2034-01-30 23:59:59", True)
     o["root_cause_breakdown"] = sql(
-        "SELECT " + case("root_cause", {c: c.replace("_", " ").title() for c in vocab.ROOT_CAUSES}) + " AS name, count(*) AS value, "
+        f"SELECT {title('root_cause')} AS name, count(*) AS value, "
         + case("root_cause", vocab.CAUSE_COLORS, q(vocab.OTHER_COLOR)) + " AS color FROM failures GROUP BY root_cause"
     )
     levels = "SELECT unnest(['High', 'Medium', 'Low']) AS name"
@@ -522,10 +560,7 @@ def oracles(stop_words: list[str]) -> dict[str, str]:
         f"SELECT test_id, root_cause FROM (SELECT *, {cap_rank('failures_src', 'cap')} AS rn FROM failures_src) WHERE rn <= 2000"
     )
     o["seeded_shuffle"] = sql(f"SELECT test_id, {draw('shuffle', 'test_id')} AS sort_key FROM failures_src")
-    o["stratified_split"] = sql(
-        f"SELECT test_id, root_cause, CASE WHEN rn <= CAST(floor(n * CAST(0.2 AS DOUBLE) + 0.5) AS BIGINT) THEN 'test' ELSE 'train' END AS side FROM "
-        f"(SELECT *, {cap_rank('failures_src', 'split')} AS rn, count(*) OVER (PARTITION BY root_cause) AS n FROM failures_src)"
-    )
+    o["stratified_split"] = sql("SELECT test_id, root_cause, side FROM sides", sides=split("failures_src"))
     o["threshold_split"] = sql(
         f"SELECT test_id, CASE WHEN {below('split', 'test_id', 0.2)} THEN 'test' ELSE 'train' END AS side FROM failures_src"
     )
@@ -582,6 +617,34 @@ def oracles(stop_words: list[str]) -> dict[str, str]:
         FROM drawn d JOIN near n ON n.label = d.label AND n.vec_id = d.base AND n.rank = d.rank JOIN embeddings e ON e.vec_id = n.neighbor)
     SELECT label, base, copy, neighbor, round(v[1], 5) AS first_value, round(list_sum(v), 4) AS total FROM made"""
 
+    tested = sql(judged("root_cause"), sides=split("failures_src"))
+    o["train_random_forest"] = o["train_gradient_boosting"] = o["vote_ensemble"] = tested
+    known = "SELECT * FROM runs_src WHERE failure_type IS NOT NULL"
+    o["train_text_baseline"] = o["train_structured_baseline"] = sql(
+        judged("failure_type"), known=known, sides=split("known", "failure_type", "run_id")
+    )
+    o["tune_grid"] = "SELECT * FROM (VALUES (10, 50, true), (10, 100, true), (20, 50, true), (20, 100, true)) t(max_depth, num_trees, accuracy_in_range)"
+    o["score_failures"] = o["score_gaps"] = sql(
+        "SELECT test_id, true AS known_cause, true AS confidence_is_largest, true AS cause_is_likeliest, true AS sums_to_one, "
+        "'RandomForest' AS model_used FROM failures_src"
+    )
+    o["triage_scored"] = sql(
+        "SELECT test_id, 'RandomForest' AS model_used, true AS same_cause, true AS has_repair, instability_score, true AS alert_sent FROM checked"
+    )
+    o["assemble_features"] = sql(
+        "SELECT test_id, round(retry_count, 4) AS retry_count, round(test_duration_sec, 4) AS test_duration_sec, round(cpu_usage_pct, 4) AS cpu_usage_pct, "
+        "round(memory_usage_mb, 4) AS memory_usage_mb, round(CAST(is_flaky_test AS DOUBLE), 4) AS is_flaky_test, true AS unit_texts FROM failures_src"
+    )
+    routed = "SELECT file_name, text, " + ", ".join(
+        f"CASE WHEN format = 'json' THEN {JSON_FIELDS[c]} ELSE {TEXT_FIELDS[c]} END AS {c}" for c in JSON_FIELDS if c != "retry_count"
+    ) + f", CASE WHEN format = 'json' THEN coalesce({JSON_FIELDS['retry_count']}, {D(0)}) ELSE {D(0)} END AS retry_count, {D(30)} AS test_duration_sec FROM parsed"
+    o["analyze_uploads"] = sql(
+        f"SELECT test_id, test_name, error_message, failure_stage, severity, true AS known_cause, {make_id('H', 'test_id')} AS healing_id, "
+        f"{RISK} AS risk_level FROM (SELECT *, {SCORE} AS score, {make_id('TEST', 'concat(file_name, chr(10), text)')} AS test_id FROM routed "
+        "WHERE coalesce(test_name, '') <> '' AND coalesce(error_message, '') <> '')",
+        parsed=PARSED, routed=routed,
+    )
+    o["save_model"] = sql("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_differ FROM sides WHERE side = 'test'", sides=split("failures_src"))
     o["confidence_text"] = sql(f"SELECT id, {PERCENT} AS confidence FROM failures_src")
     o["metrics_json"] = sql("SELECT 'rule' AS model, class, metric, value FROM metrics")
 

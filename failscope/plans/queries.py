@@ -7,9 +7,9 @@ in ``plans.oracle``.
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 from functools import reduce
 
+from pyspark.ml.feature import IndexToString, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +22,8 @@ from ..operators import (
 )
 from ..operators.heal import heal
 from ..operators.parallel import spread
-from ..operators.training import TrainingSet, report
-from ..operators.triage import triage
+from ..operators.training import TrainingSet, bounded, report
+from ..operators.triage import analyze, triage
 from ..session import configure
 from ..sources import readers, schemas, store
 from ..streaming import jobs
@@ -173,8 +173,51 @@ def append_rows(spark, d):
 @query
 def persist_fanout(spark, d):
     root = _saved(spark, d)
-    saved = {name: store.scan_table(spark, root, name) for name in schemas.TABLES}
-    return reports.summary_counts(saved)
+    return content(spark, root)
+
+
+STORED_TEXTS = {
+    "failures": ["test_id", "test_name", "pipeline", "status", "root_cause", "confidence", "healing", "logs", "stack_trace", "recommendation"],
+    "healing_actions": ["healing_id", "failure_test_id", "test_name", "repair_type", "old_value", "new_value", "status"],
+    "flaky_tests": ["test_code", "test_name", "instability_score", "risk_level"],
+    "notifications": ["failure_test_id", "test_name", "root_cause", "message", "target"],
+}
+
+
+def content(spark, root) -> DataFrame:
+    """A digest of every stored row."""
+    parts = [
+        store.scan_table(spark, root, name).select(F.lit(name).alias("table_name"), "id", F.md5(F.concat_ws("|", *cols)).alias("row_md5"))
+        for name, cols in STORED_TEXTS.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def failures_of_days(spark, d):
+    """Failures of ten days from a store, which reads these days' folders only."""
+    rows = store.failures_of_days(spark, _saved(spark, d), "2024-01-11", "2024-01-20")
+    return rows.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("failures"))
+
+
+@query
+def changed_store(spark, d):
+    """Save, heal, delete every third, compact, and read what is left."""
+    root, keys = _saved(spark, d), key_list(spark, d)
+    now = {name: store.scan_table(spark, root, name) for name in schemas.TABLES}
+    failures, healing = tables.apply_heal(now["failures"], now["healing_actions"], keys)
+    store.write_snapshot({"failures": failures, "healing_actions": healing}, spark, root)
+    now = {name: store.scan_table(spark, root, name) for name in schemas.TABLES}
+    third = keys.filter(F.substring("test_id", 6, 8).cast("bigint") % 3 == 0)
+    store.write_snapshot(tables.delete_cascade(now, third), spark, root)
+    store.compact(spark, root)
+    left = [
+        store.scan_table(spark, root, name).select(
+            F.lit(name).alias("table_name"), "id", F.col("status") if name in ("failures", "healing_actions") else F.lit(None).cast("string").alias("status")
+        )
+        for name in schemas.TABLES
+    ]
+    return reduce(DataFrame.unionByName, left)
 
 
 # --- cleaning ---------------------------------------------------------------------------
@@ -262,7 +305,7 @@ def synthetic_training(spark, d):
     )
     have = set(rows.columns)
     return rows.select(
-        *[(F.col(c).cast("string") if c in have else F.lit("")).alias(c) for c in clean.TRAINING_FIELDS]
+        *[(F.col(c).cast("string") if c in have else F.lit("")).alias(c) for c in vocab.TRAINING_FIELDS]
     )
 
 
@@ -277,7 +320,8 @@ def merge_datasets(spark, d):
 
 @query
 def title_case_cause(spark, d):
-    return failures_src(spark, d).select("id", title_case("root_cause").alias("title"))
+    mixed = F.concat(F.lit("db-"), F.col("root_cause"), F.lit("_3x's"))
+    return failures_src(spark, d).select("id", title_case("root_cause").alias("title"), title_case(mixed).alias("mixed"))
 
 
 # --- repair -----------------------------------------------------------------------------
@@ -806,17 +850,10 @@ def smote(spark, d):
 
 
 # --- models -----------------------------------------------------------------------------
-
-@contextmanager
-def sides(split: DataFrame, key: str):
-    """(train, test) of a split, written once; the training side is cached for the fit."""
-    rows = store.cut(split, "split")
-    train = spread(rows, key, ordered=True).filter("side = 'train'").persist()
-    try:
-        yield train, rows.filter("side = 'test'")
-    finally:
-        train.unpersist()
-
+#
+# What a model learns cannot be said in SQL. These queries return what can: how many rows
+# each class was tested on, whether all measures are shares, whether the model beats the
+# largest class, and whether scored rows agree with themselves.
 
 def with_prepared(fn):
     """Pass the query a training set made of all failures, and release it afterwards."""
@@ -824,7 +861,7 @@ def with_prepared(fn):
     def run(spark, d):
         p = TrainingSet(failures_src(spark, d))
         try:
-            return fn(spark, d, p)
+            return store.cut(fn(spark, d, p), fn.__name__)  # lazy parts still need the kept rows
         finally:
             p.release()
 
@@ -832,57 +869,98 @@ def with_prepared(fn):
     return run
 
 
+def judged(metrics: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(class, support, in_range, beats_majority) from a table of all metrics."""
+    shares = metrics.filter("metric <> 'support'")
+    in_range = shares.agg(F.bool_and(F.col("value").between(0, 1)).alias("ok")).scalar()
+    supports = metrics.filter("metric = 'support'").select("class", F.col("value").cast("bigint").alias("support"))
+    largest = supports.agg(F.max("support") / F.sum("support")).scalar()
+    accuracy_ = metrics.filter("metric = 'accuracy'").agg(F.max("value")).scalar()
+    return supports.filter("support > 0").select(
+        "class", "support", in_range.alias("in_range"), (accuracy_ > largest).alias("beats_majority")
+    )
+
+
+def agrees(scored: DataFrame) -> DataFrame:
+    """Per scored row whether cause, confidence and probabilities fit together."""
+    values = F.map_values("all_probabilities")
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return scored.select(
+        "test_id", F.col("root_cause").isin(vocab.ROOT_CAUSES).alias("known_cause"),
+        (F.col("confidence") == F.array_max(values)).alias("confidence_is_largest"),
+        (F.element_at("all_probabilities", F.col("root_cause")) == F.col("confidence")).alias("cause_is_likeliest"),
+        (F.abs(total - 1) < 1e-3).alias("sums_to_one"), "model_used",
+    )
+
+
 @query
 @with_prepared
 def assemble_features(spark, d, p):
-    both = p.train.select("test_id", "features").unionByName(p.test().select("test_id", "features"))
+    """Every failure's vector; its last entries are the numbers as they were given."""
     values = vector_to_array("features")
-    return both.select(
-        "test_id", F.size(values).alias("width"),
-        F.size(F.filter(values, lambda x: x != 0)).alias("non_zero"),
+    last = {c: F.element_at("v", i - len(models.NUMBER_COLUMNS)) for i, c in enumerate(models.NUMBER_COLUMNS)}
+    text = F.slice("v", F.lit(1), F.size("v") - F.lit(len(models.CATEGORY_COLUMNS) + len(last)))
+    length = F.aggregate(text, F.lit(0.0), lambda a, x: a + x * x)
+    return p.features().select("test_id", values.alias("v")).select(
+        "test_id", *[F.round(x, 4).alias(c) for c, x in last.items()],
+        # Two texts of length one each, unless a text has no known word.
+        (F.abs(length - F.round(length)) < 1e-6).alias("unit_texts"),
     )
 
 
 @query
 @with_prepared
 def train_random_forest(spark, d, p):
-    return report(models.train_random_forest(p.train), p.test(), "RandomForest")
+    return judged(report(models.train_random_forest(p.train), p.test(), "RandomForest"))
 
 
 @query
 @with_prepared
 def train_gradient_boosting(spark, d, p):
-    return report(models.train_gradient_boosting(p.train), p.test(), "GradientBoosting")
+    return judged(report(models.train_gradient_boosting(p.train), p.test(), "GradientBoosting"))
+
+
+def baseline(spark, d, columns, fit):
+    """Judged metrics of a baseline on raw runs, by failure type."""
+    rows = clean.project_dropna(view(spark, d, "runs_src"), ["run_id", *columns, "failure_type"])
+    split = sampling.stratified_split(rows, "failure_type", "run_id")
+    train = bounded(split.filter("side = 'train'"), "failure_type", "run_id")
+    try:
+        model = fit(train)
+        back = IndexToString(inputCol="prediction", outputCol="guess", labels=model_labels(model))
+        scored = back.transform(model.transform(split.filter("side = 'test'")))
+        return store.cut(judged(evaluate.metrics_table(scored, "Baseline", "failure_type", "guess")), "baseline")
+    finally:
+        train.unpersist()
+
+
+def model_labels(model) -> list[str]:
+    """Class names in index order; a row of an unknown class keeps its own index."""
+    indexers = [s for s in model.stages if isinstance(s, StringIndexerModel) and "label" in (s.getOrDefault("outputCol"),)]
+    return [*indexers[-1].labels, "unknown"]
 
 
 @query
 def train_text_baseline(spark, d):
-    rows = clean.project_dropna(view(spark, d, "runs_src"), ["run_id", "error_message", "failure_type"])
-    with sides(sampling.stratified_split(rows, "failure_type", "run_id"), "run_id") as (train, test):
-        model = models.train_text_baseline(train, "run_id")
-        scored = model.transform(test)
-    return evaluate.metrics_table(scored, "TextBaseline", "label", "prediction")
+    return baseline(spark, d, ["error_message"], lambda train: models.train_text_baseline(train, "run_id"))
 
 
 @query
 def train_structured_baseline(spark, d):
-    columns = ["run_id"] + models.STRUCTURED_TEXT + models.STRUCTURED_NUMBERS + ["failure_type"]
-    rows = clean.project_dropna(view(spark, d, "runs_src"), columns)
-    with sides(sampling.stratified_split(rows, "failure_type", "run_id"), "run_id") as (train, test):
-        model = models.train_structured_baseline(train)
-        scored = model.transform(test)
-    return evaluate.metrics_table(scored, "StructuredBaseline", "label", "prediction")
+    columns = models.STRUCTURED_TEXT + models.STRUCTURED_NUMBERS
+    return baseline(spark, d, columns, models.train_structured_baseline)
 
 
 @query
 @with_prepared
 def vote_ensemble(spark, d, p):
+    """Forest and boosted trees, with their usual sizes, vote on the whole test side."""
     forest = models.train_random_forest(p.train)
-    boosted = models.train_gradient_boosting(p.train, rounds=10)
+    boosted = models.train_gradient_boosting(p.train)
     voted = models.vote_ensemble(
         p.test_rows.withColumnRenamed("root_cause", "truth"), p.stages, [forest, boosted]
     )
-    return evaluate.metrics_table(voted, "Ensemble", "truth", "root_cause")
+    return judged(evaluate.metrics_table(voted, "Ensemble", "truth", "root_cause"))
 
 
 @query
@@ -890,10 +968,10 @@ def vote_ensemble(spark, d, p):
 def tune_grid(spark, d, p):
     fitted = models.tune_grid(p.train)
     rows = [
-        tuple(int(v) for v in sorted_params(grid)) + (float(score),)
+        tuple(int(v) for v in sorted_params(grid)) + (bool(0 < score <= 1),)
         for grid, score in zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics)
     ]
-    return spark.createDataFrame(rows, "max_depth int, num_trees int, accuracy double")
+    return spark.createDataFrame(rows, "max_depth int, num_trees int, accuracy_in_range boolean")
 
 
 def sorted_params(grid) -> list:
@@ -905,8 +983,17 @@ def sorted_params(grid) -> list:
 @with_prepared
 def score_failures(spark, d, p):
     forest = models.train_random_forest(p.train)
-    scored = models.score_failures(failures_src(spark, d), p.stages, forest)
-    return scored.select("test_id", "root_cause", "confidence", F.to_json("all_probabilities").alias("all_probabilities"), "model_used")
+    return agrees(models.score_failures(failures_src(spark, d), p.stages, forest))
+
+
+@query
+@with_prepared
+def score_gaps(spark, d, p):
+    """Rows that lack texts, numbers or categories are scored like all others."""
+    forest = models.train_random_forest(p.train)
+    lacks = {"error_message": 2, "stack_trace": 3, "retry_count": 5, "failure_type": 7, "memory_usage_mb": 11}
+    rows = failures_src(spark, d).withColumns({c: F.when(F.col("id") % n != 0, F.col(c)) for c, n in lacks.items()})
+    return agrees(models.score_failures(rows, p.stages, forest))
 
 
 @query
@@ -914,19 +1001,43 @@ def score_failures(spark, d, p):
 def triage_scored(spark, d, p):
     """The whole analysis with the model's cause in place of the given one."""
     forest = models.train_random_forest(p.train)
-    return flat_triage(triage(models.score_failures(failures_src(spark, d), p.stages, forest)))
+    done = triage(models.score_failures(failures_src(spark, d), p.stages, forest))
+    return done.select(
+        "test_id", F.col("classification.model_used").alias("model_used"),
+        (F.col("classification.root_cause") == F.col("root_cause")).alias("same_cause"),
+        F.col("healing.repair_type").isNotNull().alias("has_repair"),
+        F.col("flaky_analysis.instability_score").alias("instability_score"),
+        (F.col("notification").isNotNull() == F.col("healing.developer_alert")).alias("alert_sent"),
+    )
+
+
+@query
+@with_prepared
+def analyze_uploads(spark, d, p):
+    """Uploaded files to analyzed failures: route, require, identify, score, triage."""
+    forest = models.train_random_forest(p.train)
+    done, _ = analyze(view(spark, d, "uploads_src"), p.stages, forest)
+    return done.select(
+        "test_id", "test_name", "error_message", "failure_stage", "severity",
+        F.col("root_cause").isin(vocab.ROOT_CAUSES).alias("known_cause"),
+        F.col("healing.healing_id").alias("healing_id"), F.col("flaky_analysis.risk_level").alias("risk_level"),
+    )
 
 
 @query
 @with_prepared
 def save_model(spark, d, p):
-    """Metrics on the test side before saving and after loading, which must agree."""
+    """Scores of a model and of the same model saved and loaded: rows, and rows that differ."""
     forest = models.train_random_forest(p.train)
     path = store.scratch_dir(spark, "model")
     models.save_model(p.stages, forest, path)
     stages, loaded = models.load_model(path)
-    again = models.prepare(stages, p.test_rows)
-    return report(forest, p.test(), "fitted").unionByName(report(loaded, again, "loaded"))
+    first = models.score_failures(p.test_rows, p.stages, forest).select("test_id", "root_cause", "confidence")
+    again = models.score_failures(p.test_rows, stages, loaded).select(
+        "test_id", F.col("root_cause").alias("cause2"), F.col("confidence").alias("confidence2")
+    )
+    differs = (F.col("root_cause") != F.col("cause2")) | (F.col("confidence") != F.col("confidence2"))
+    return first.join(again, "test_id").agg(F.count("*").alias("n_rows"), F.count_if(differs).alias("n_differ"))
 
 
 @query
@@ -1007,7 +1118,19 @@ def stream_triage(spark, d):
     stream, _ = _stream_source(spark, d)
     root = store.scratch_dir(spark, "stream-store")
     jobs.stream_triage(stream, root, store.scratch_dir(spark, "checkpoint")).awaitTermination()
-    return reports.summary_counts({n: store.scan_table(spark, root, n) for n in schemas.TABLES})
+    return content(spark, root)
+
+
+@query
+@with_prepared
+def stream_scored(spark, d, p):
+    """The stream finds each failure's cause with a model before it is analyzed."""
+    forest = models.train_random_forest(p.train)
+    stream, _ = _stream_source(spark, d)
+    root = store.scratch_dir(spark, "stream-store")
+    score = lambda batch: models.score_failures(batch, p.stages, forest)
+    jobs.stream_triage(stream, root, store.scratch_dir(spark, "checkpoint"), score=score).awaitTermination()
+    return store.scan_table(spark, root, "failures").select("test_id", F.col("root_cause").isin(vocab.ROOT_CAUSES).alias("known_cause"))
 
 
 @query

@@ -20,8 +20,10 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """Session for tests and the bench."""
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", scratch: str | None = None
+) -> SparkSession:
+    """Session for tests and the bench; ``scratch`` holds its intermediate tables."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("failscope")
@@ -30,7 +32,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    for k, v in SETTINGS.items():
+    for k, v in {**SETTINGS, **({"spark.checkpoint.dir": scratch} if scratch else {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -49,8 +49,12 @@ def scan_csv_training(
     return scan_csv(spark, path, schemas.TRAINING_CSV, multiline, vocab.CSV_MISSING if missing else None)
 
 
-def sink_csv_training(df: DataFrame, path: str) -> None:
-    """Write the training fields with header; quotes are doubled."""
+def sink_csv_training(df: DataFrame, path: str, file_rows: int = 1_000_000) -> None:
+    """Write the training fields with header; quotes are doubled.
+
+    Cells may hold line breaks, so the files cannot be split when they are read;
+    ``file_rows`` bounds each of them.
+    """
     (
         df.select(*[F.col(c).cast("string").alias(c) for c in schemas.TRAINING_FIELDS])
         .write.mode("overwrite")
@@ -59,6 +63,7 @@ def sink_csv_training(df: DataFrame, path: str) -> None:
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
+        .option("maxRecordsPerFile", file_rows)
         .csv(path)
     )
 
@@ -73,7 +78,20 @@ UPLOAD_KEYS = [
 UPLOAD = StructType([StructField(k, StringType()) for k in UPLOAD_KEYS])
 
 
-def _json_fields(doc, name) -> dict:
+def _filled(doc, variant) -> dict:
+    """Texts of the upload keys; numbers equal to zero and ``false`` count as empty.
+
+    ``from_json`` turns every value into text; the variant still knows its type.
+    """
+    out = {}
+    for k in UPLOAD_KEYS:
+        kind = F.schema_of_variant(F.try_variant_get(variant, f"$.{k}", "variant"))
+        empty = (kind != "STRING") & ((doc[k] == "false") | (doc[k].try_cast("double") == 0.0))
+        out[k] = F.when(~F.coalesce(empty, F.lit(False)), doc[k])
+    return out
+
+
+def _json_fields(doc, name, variant) -> dict:
     raw = doc["retry_count"]
     retry = (
         F.when(raw.isNull() | (strip(raw) == ""), F.lit(0.0))
@@ -81,6 +99,7 @@ def _json_fields(doc, name) -> dict:
         .when(raw == "false", F.lit(0.0))
         .when(raw.rlike(NUMBER), raw.try_cast("double"))
     )
+    doc = _filled(doc, variant)
     return {
         "test_name": first_filled(doc["test_name"], doc["testName"], name),
         "error_message": first_filled(doc["error_message"], doc["errorMessage"], doc["message"], default=""),
@@ -120,8 +139,9 @@ def ingest_json(df: DataFrame, text: str = "text", name: str = "file_name") -> D
     A retry count that is no number stays null, and the row is then not scored for
     flakiness.
     """
-    parsed = df.withColumn("_doc", F.from_json(text, UPLOAD))
-    return parsed.withColumns(_json_fields(F.col("_doc"), F.col(name))).drop("_doc")
+    parsed = df.withColumns({"_doc": F.from_json(text, UPLOAD), "_variant": F.try_parse_json(text)})
+    fields = _json_fields(F.col("_doc"), F.col(name), F.col("_variant"))
+    return parsed.withColumns(fields).drop("_doc", "_variant")
 
 
 def ingest_text_log(df: DataFrame, text: str = "text", name: str = "file_name") -> DataFrame:
@@ -139,13 +159,14 @@ def route_by_format(df: DataFrame, text: str = "text", name: str = "file_name")
         {
             "format": F.when(F.coalesce(is_json, F.lit(False)), "json").otherwise("text"),
             "_doc": F.from_json(text, UPLOAD),
+            "_variant": F.try_parse_json(text),
         }
     )
-    as_json = _json_fields(F.col("_doc"), F.col(name))
+    as_json = _json_fields(F.col("_doc"), F.col(name), F.col("_variant"))
     as_text = _text_fields(F.col(text), F.col(name))
     return parsed.withColumns(
         {c: F.when(F.col("format") == "json", as_json[c]).otherwise(as_text[c]) for c in as_json}
-    ).drop("_doc")
+    ).drop("_doc", "_variant")
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:

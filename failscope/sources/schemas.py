@@ -7,7 +7,7 @@ from pyspark.sql.types import (
     StructType, TimestampType,
 )
 
-from ..operators.clean import TRAINING_FIELDS
+from ..functions.vocab import TRAINING_FIELDS
 
 
 def _text(*names: str) -> list[StructField]:

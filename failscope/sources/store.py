@@ -3,18 +3,27 @@
 Layout below one root folder::
 
     <table>/batch=<id>/part-*.parquet
+    failures/batch=<id>/day=<date>/part-*.parquet
     manifest/batch=<id>/part-*.parquet     written last
 
 Parquet has no commit over several tables. A batch counts only once its manifest row
 exists, so a job that dies half-way leaves nothing visible, and writing a batch again
 replaces its files (replays change nothing).
+
+Failures are filed by the day of their creation, so trends read only their days; every
+table is sorted by its failure's key inside its files, so lookups skip most of them.
+
+Changes and compaction write a *snapshot*: all rows of all tables as one batch that opens
+the next epoch. Readers take the batches of the newest epoch; older ones stay until
+someone deletes them.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -22,19 +31,31 @@ from pyspark.sql.types import StructType
 from ..functions.columns import first_filled, make_id, percent_text
 from . import schemas
 
+DAY = "day"
+
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables.
 
-    It lies in the shared folder that ``spark.checkpoint.dir`` names. Only a local
-    session without that setting falls back to the machine's temporary folder.
+    It lies in the folder that ``spark.checkpoint.dir`` names, else below the session's
+    warehouse; driver and executors share both.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/failscope-{name}-{uuid.uuid4().hex[:12]}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix=f"failscope-{name}-")
+    return new_folder(shared_root(spark.conf.get), name)
+
+
+def shared_root(setting) -> str:
+    """The folder for intermediate tables; ``setting`` looks a session setting up."""
+    root = setting("spark.checkpoint.dir", None)
+    if not root:
+        warehouse = setting("spark.sql.warehouse.dir", None)
+        if not warehouse:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{warehouse.rstrip('/')}/_scratch"
+    return root.rstrip("/")
+
+
+def new_folder(root: str, name: str) -> str:
+    return f"{root}/failscope-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -106,41 +127,81 @@ def table_rows(analyzed: DataFrame) -> dict[str, DataFrame]:
     return {"failures": failures, "healing_actions": healing, "flaky_tests": flaky, "notifications": notes}
 
 
-def persist_fanout(analyzed: DataFrame, root: str, batch: str, cache: bool = False) -> None:
+def persist_fanout(analyzed: DataFrame, root: str, batch: str, cache: bool = True) -> None:
     """Write one analyzed batch into the four tables, then its manifest row.
 
-    Each write reads only the columns its table needs, and triage is a plain
-    projection, so by default nothing is cached. ``cache=True`` is for batches that are
-    dear to compute again (model scores, stream batches).
+    The batch is analyzed once and kept while its four tables are written; ``cache=False``
+    analyzes it once per table instead, for batches larger than the executors' disks.
     """
     if cache:
-        analyzed = analyzed.persist()
+        analyzed = analyzed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for name, rows in table_rows(analyzed).items():
-            rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
-        spark = analyzed.sparkSession
-        done = spark.range(1).select(F.current_timestamp().alias("written_at"))
-        done.coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/batch={batch}")
+        write_batch(table_rows(analyzed), root, batch, current_epoch(analyzed.sparkSession, root))
     finally:
         if cache:
             analyzed.unpersist()
 
 
+def write_batch(tables: dict[str, DataFrame], root: str, batch: str, epoch: int) -> None:
+    for name, rows in tables.items():
+        path, key = f"{root}/{name}/batch={batch}", schemas.FAILURE_KEYS[name]
+        if name == "failures":
+            # Rebalancing brings the rows of a day together, and splits large days.
+            rows = rows.withColumn(DAY, F.to_date("created_at")).hint("rebalance", DAY)
+            rows.sortWithinPartitions(DAY, key).write.mode("overwrite").partitionBy(DAY).parquet(path)
+        else:
+            rows.sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    spark = next(iter(tables.values())).sparkSession
+    done = spark.range(1).select(F.current_timestamp().alias("written_at"), F.lit(epoch).alias("epoch"))
+    done.coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/batch={batch}")
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("written_at timestamp, epoch int, batch string").parquet(f"{root}/manifest")
+
+
+def current_epoch(spark: SparkSession, root: str) -> int:
+    """Number of the newest epoch; 0 for a store that does not exist yet."""
+    try:
+        return manifest(spark, root).agg(F.max("epoch")).first()[0] or 0
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return 0
+        raise
+
+
 def scan_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """All committed rows of one table. The batch list prunes the folders to read."""
-    with_batch = StructType(list(schemas.TABLES[name].fields)).add("batch", "string")
-    rows = spark.read.schema(with_batch).parquet(f"{root}/{name}")
-    done = spark.read.schema("written_at timestamp, batch string").parquet(f"{root}/manifest")
+    """All rows of one table in the newest epoch. The batch list prunes the folders to read."""
+    return _scan(spark, root, name).drop(DAY)
+
+
+def _scan(spark: SparkSession, root: str, name: str) -> DataFrame:
+    schema = StructType(list(schemas.TABLES[name].fields)).add("batch", "string")
+    rows = spark.read.schema(schema.add(DAY, "date") if name == "failures" else schema).parquet(f"{root}/{name}")
+    done = manifest(spark, root).filter(F.col("epoch") == current_epoch(spark, root))
     return rows.join(done.select("batch"), "batch", "left_semi").drop("batch")
 
 
-def write_snapshot(tables: dict[str, DataFrame], root: str) -> None:
-    """Write changed tables as a new snapshot. Never pass the folder being read."""
-    for name, rows in tables.items():
-        rows.write.mode("errorifexists").parquet(f"{root}/{name}/batch=snapshot")
-    spark = next(iter(tables.values())).sparkSession
-    done = spark.range(1).select(F.current_timestamp().alias("written_at"))
-    done.coalesce(1).write.parquet(f"{root}/manifest/batch=snapshot")
+def failures_of_days(spark: SparkSession, root: str, first: str, last: str) -> DataFrame:
+    """Failures created between two dates; other days' folders are not read."""
+    return _scan(spark, root, "failures").filter(F.col(DAY).between(F.lit(first).cast("date"), F.lit(last).cast("date"))).drop(DAY)
+
+
+def write_snapshot(tables: dict[str, DataFrame], spark: SparkSession, root: str) -> int:
+    """Write the given tables, and the others as they are, as the next epoch; its number.
+
+    The tables may be read from the store itself, as a snapshot never touches older files.
+    """
+    epoch = current_epoch(spark, root) + 1
+    whole = {name: tables[name] if name in tables else scan_table(spark, root, name) for name in schemas.TABLES}
+    whole = {name: df.select(*schemas.TABLES[name].names) for name, df in whole.items()}
+    write_batch(whole, root, f"snapshot-{epoch:09d}", epoch)
+    return epoch
+
+
+def compact(spark: SparkSession, root: str) -> int:
+    """All batches of the newest epoch as one."""
+    return write_snapshot({}, spark, root)
 
 
 def add_created_at(df: DataFrame, load_time, column: str = "created_at") -> DataFrame:

@@ -6,7 +6,7 @@ be stopped, lost and started again; nothing is kept outside checkpoint and outpu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +19,7 @@ from ..operators.triage import triage
 from ..sources.store import persist_fanout
 
 SALTS = 16
+IDLE_MS = 30 * 24 * 3600 * 1000
 
 
 def failure_stream(
@@ -31,15 +32,21 @@ def failure_stream(
     return reader.json(path)
 
 
-def stream_triage(stream: DataFrame, root: str, checkpoint: str, target: str = "developer") -> StreamingQuery:
+def stream_triage(
+    stream: DataFrame, root: str, checkpoint: str, target: str = "developer",
+    score: Callable[[DataFrame], DataFrame] | None = None,
+) -> StreamingQuery:
     """Analyze each micro-batch and write the four tables.
 
+    ``score`` adds cause and confidence to a batch, as ``models.score_failures`` does;
+    without it the stream must carry them.
+
     The batch id names the output folder, so a batch that is replayed after a loss
     replaces its own files.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        persist_fanout(triage(batch, target), root, f"{batch_id:012d}", cache=True)
+        persist_fanout(triage(score(batch) if score else batch, target), root, f"{batch_id:012d}")
 
     return (
         stream.writeStream.foreachBatch(save)
@@ -106,7 +113,7 @@ def _keep_last(last: int, idle_ms: int | None):
         times, ids, outcomes = ([r[i] for r in kept] for i in range(3))
         state.update((times, ids, outcomes))
         if idle_ms:
-            state.setTimeoutDuration(idle_ms)
+            state.setTimeoutTimestamp(max(times[-1] // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(
             {"test_name": [key[0]], "salt": [key[1]], "times": [times], "ids": [ids], "outcomes": [outcomes]}
         )
@@ -116,20 +123,25 @@ def _keep_last(last: int, idle_ms: int | None):
 
 def stream_recent_pattern(
     stream: DataFrame, out: str, checkpoint: str, last: int = 5, salts: int = SALTS,
-    idle_ms: int | None = None,
+    idle_ms: int | None = IDLE_MS, delay: str = "1 day",
 ) -> StreamingQuery:
     """Keep the last outcomes per test as keyed state.
 
     A hot test is spread over ``salts`` states by a hash of the row id; each state
     holds ``last`` outcomes and ``read_recent_pattern`` merges them, which is exact.
     Updates are written under their batch id, so replays replace their own files.
-    ``idle_ms`` drops the state of tests that have not run for so long.
+    ``idle_ms`` drops the state of tests that have not run for so long in event time (a
+    month; None keeps them for ever); rows that come more than ``delay`` late are left out
+    then. ``compact_recent_pattern`` keeps the newest update per state.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.EventTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    stream = stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    if idle_ms:
+        stream = stream.withWatermark("created_at", delay)
     rows = stream.select(
-        "test_name",
+        "test_name", "created_at",
         F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"),
-        F.unix_micros(F.col("created_at").cast("timestamp")).alias("time_us"),
+        F.unix_micros("created_at").alias("time_us"),
         "id",
         "outcome",
     )
@@ -149,6 +161,14 @@ def stream_recent_pattern(
     )
 
 
+def compact_recent_pattern(spark: SparkSession, out: str, into: str) -> None:
+    """The newest update of every state as one batch in a new folder, for a new reader."""
+    updates = spark.read.schema(PATTERN_OUT + ", batch string").parquet(out)
+    newest = updates.groupBy("test_name", "salt").agg(F.max_by(F.struct("times", "ids", "outcomes"), "batch").alias("s"))
+    last = updates.agg(F.max("batch")).first()[0] or f"{0:012d}"
+    newest.select("test_name", "salt", "s.*").write.mode("overwrite").parquet(f"{into}/batch={last}")
+
+
 def read_recent_pattern(spark: SparkSession, out: str, last: int = 5) -> DataFrame:
     """(test_name, recent_pattern) from the newest update of every state."""
     updates = spark.read.schema(PATTERN_OUT + ", batch string").parquet(out)

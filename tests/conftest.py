@@ -9,8 +9,8 @@ from failscope.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session("8", shuffle_partitions=4, memory="6g")
+def spark(tmp_path_factory):
+    return local_session("8", shuffle_partitions=4, memory="6g", scratch=str(tmp_path_factory.mktemp("scratch")))
 
 
 @pytest.fixture(scope="session")

@@ -7,13 +7,12 @@ import pytest
 
 import __spark_entry__ as contract
 from check import rows_of
+from failscope.plans.queries import QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 
-SLOW = {
-    "train_gradient_boosting", "train_structured_baseline", "train_text_baseline", "vote_ensemble", "tune_grid",
-    "train_random_forest", "score_failures", "triage_scored", "save_model", "assemble_features",
-}
+# Minutes each; tests/test_learning.py has small forms of them.
+SLOW = {"train_gradient_boosting", "train_structured_baseline", "vote_ensemble", "tune_grid"}
 
 
 @pytest.fixture(scope="module")
@@ -24,9 +23,9 @@ def con(data_dir):
     return con
 
 
-@pytest.mark.parametrize("key", sorted(set(contract.queries()) - SLOW))
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - SLOW))
 def test_query(spark, data_dir, con, key):
-    df = contract.queries()[key](spark, data_dir)
+    df = QUERIES[key](spark, data_dir)
     cur = con.execute(contract.oracle_sql()[key])
     names = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(names)
@@ -35,3 +34,7 @@ def test_query(spark, data_dir, con, key):
 
 def test_entry(spark):
     assert contract.entry(spark).count() == 1000
+
+
+def test_every_query_has_a_twin():
+    assert set(QUERIES) <= set(contract.queries()) and set(QUERIES) <= set(contract.oracle_sql()) | {"remove_stop_words", "tfidf_baseline"}

@@ -150,6 +150,6 @@ def test_recent_pattern_and_flips_against_brute_force(spark):
         want_last[t] = ", ".join(os_[-5:])
         want_flips[t] = (len(os_), sum(a != b for a, b in zip(os_, os_[1:])))
     assert {r["test_name"]: r["recent_pattern"] for r in flaky.recent_pattern(df).collect()} == want_last
-    for width in ("1 minute", "1 hour", "30 days"):
-        got = {r["test_name"]: (r["runs"], r["flips"]) for r in flaky.flip_rate(df, slice_width=width).collect()}
+    for width in (60, 3600, 30 * 86400):
+        got = {r["test_name"]: (r["runs"], r["flips"]) for r in flaky.flip_rate(df, slice_seconds=width).collect()}
         assert got == want_flips

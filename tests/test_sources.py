@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from failscope.operators import reports
-from failscope.operators.clean import TRAINING_FIELDS, bool_coerce, numeric_coerce, split_rejected
+from failscope.functions.vocab import TRAINING_FIELDS
+from failscope.operators.clean import bool_coerce, numeric_coerce, split_rejected
 from failscope.operators.triage import triage
 from failscope.sources import readers, schemas, store
 
@@ -112,13 +113,14 @@ def test_store_commits_by_manifest_and_replays(spark, batch, tmp_path):
     assert tuple(counts()) == first
 
 
-def test_scratch_dir_follows_the_session(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert store.scratch_dir(spark, "x").startswith(str(tmp_path))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert os.path.isdir(store.scratch_dir(spark, "x"))
+def test_scratch_dir_follows_the_session(spark):
+    named = {"spark.checkpoint.dir": "file:///shared/", "spark.sql.warehouse.dir": "/wh"}
+    assert store.shared_root(lambda k, d: named.get(k, d)) == "file:///shared"
+    del named["spark.checkpoint.dir"]
+    assert store.shared_root(lambda k, d: named.get(k, d)) == "/wh/_scratch"
+    with pytest.raises(ValueError):
+        store.shared_root(lambda k, d: d)
+    assert store.scratch_dir(spark, "x").startswith(store.shared_root(spark.conf.get))
 
 
 def test_added_column(spark):
