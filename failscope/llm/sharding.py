@@ -56,8 +56,8 @@ def longest_first(items: list[tuple[int, str]], shards: int) -> list[tuple[str,
     return placed
 
 
-def plan_items(sizes: DataFrame, shards: int) -> tuple[DataFrame, int]:
-    """Placement of every item as (item, shard), and the size from which a group is one.
+def plan_items(sizes: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, int]:
+    """(placement of every item, all groups, the size from which a group is an item).
 
     ``sizes`` has (group, size) rows, one or more for each group.
     """
@@ -67,7 +67,7 @@ def plan_items(sizes: DataFrame, shards: int) -> tuple[DataFrame, int]:
     items = groups.groupBy(item_name(heavy, shards).alias("item")).agg(F.sum("size").alias("size"))
     placed = longest_first([(r["size"], r["item"]) for r in items.collect()], shards)
     spark = sizes.sparkSession
-    return spark.createDataFrame(placed, "item string, shard int"), (groups, heavy)
+    return spark.createDataFrame(placed, "item string, shard int"), groups, heavy
 
 
 def item_name(heavy: int, shards: int) -> Column:
@@ -91,7 +91,7 @@ def assign(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc
         "text_crc32": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")),
         "_group": group_key(F.col(text)),
     })
-    placed, (groups, heavy) = plan_items(rows.select(F.col("_group").alias("group"), "size"), shards)
+    placed, groups, heavy = plan_items(rows.select(F.col("_group").alias("group"), "size"), shards)
     # At most shards * FINE rows, whatever the input.
     large = F.broadcast(groups.filter(F.col("size") >= heavy).select(
         F.col("group").alias("_group"), F.concat(F.lit("g"), F.hex("group")).alias("_item")
