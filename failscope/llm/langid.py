@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import cut, slices, without
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE_DOCS = 2_000
@@ -45,6 +45,8 @@ SMOOTH = 0.05
 UND = "und"
 SPLIT = 5
 MIN_SCORE = 0.5
+BATCH_ROWS = 1000
+UNITS_AT_ONCE = 10_000
 
 
 class Pieces(NamedTuple):
@@ -141,8 +143,8 @@ def by_length(words: pa.Array):
     codes, start, size, word = units_of(words)
     for length in np.unique(size):
         own = np.flatnonzero(size == length)
-        for at in range(0, len(own), 20_000):
-            part = own[at : at + 20_000]
+        for at in range(0, len(own), UNITS_AT_ONCE):
+            part = own[at : at + UNITS_AT_ONCE]
             yield int(length), codes[start[part][:, None] + np.arange(length)], word[part]
 
 
@@ -206,7 +208,7 @@ def training_words(docs: DataFrame, sample_docs: int) -> DataFrame:
     draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, BATCH_ROWS):
             langs = batch.column(0)
             for lang in pc.unique(langs):
                 words, at, _ = words_of(batch.column(1).filter(pc.equal(langs, lang)))
@@ -275,7 +277,9 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
     @F.arrow_udf("lang string, score double")
     def guess(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            got, p = classify(sent.value, part.cast(pa.string()))
+            # A few rows at a time bound what the worker holds besides its batch.
+            done = [classify(sent.value, part.slice(at, BATCH_ROWS).cast(pa.string())) for at in range(0, len(part), BATCH_ROWS)]
+            got, p = [x for d in done for x in d[0]], np.concatenate([np.empty(0), *[d[1] for d in done]])
             yield pa.StructArray.from_arrays([pa.array(got, pa.string()), pa.array(p)], ["lang", "score"])
 
     docs = without(docs, lang, score, "_guess")

@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
 FILTER_BITS = 1 << 27
 SLICES = 64
+BATCH_ROWS = 1000
 HASHES = 2
 BLANK = " \t\n\x0b\x0c\r"
 FOLD = {c: c + 32 for c in range(65, 91)}
@@ -110,7 +111,7 @@ def suspects(docs: DataFrame, least: int, bits: int = FILTER_BITS) -> DataFrame:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(sent.value, np.uint8)
         width = np.uint32(bits // SLICES)
-        for batch in batches:
+        for batch in slices(batches, BATCH_ROWS):
             ids, out_id, out_digest = batch.column(0).to_pylist(), [], []
             keys, owner = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -152,7 +153,7 @@ def dedup(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEAST_DOC
     rows = rows.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "drop")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, BATCH_ROWS):
             texts, n, gone = [], [], []
             for text, lost in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lines = (text or "").split("\n")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fits, mixer
+from .common import cut, fits, mixer, slices
 from .components import components, unite
 
 WORDS = 5
@@ -46,6 +46,8 @@ BANDS = 32
 ROWS = 5
 BATCH_ELEMENTS = 60_000
 BLOCK = 256
+BLOCK_ELEMENTS = 100_000
+BATCH_ROWS = 500
 BROADCAST_IDS = 1_000_000
 
 
@@ -137,7 +139,7 @@ def signed(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> Dat
                 ["doc_id", "n", "digest", "bands"],
             )
 
-        for batch in batches:
+        for batch in slices(batches, BATCH_ROWS):
             ids, sets, held = [], [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text, k)
@@ -164,7 +166,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in slices(batches, BATCH_ROWS):
             rows = []
             for node, text, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingles(text, k)
@@ -185,7 +187,8 @@ def block_units(members: DataFrame, percent: int, block: int) -> tuple[DataFrame
     """Blocks of (family, node, comp, n) members, and the pairs of blocks to compare.
 
     A block holds documents of one size class and of one large part, or of several small
-    parts (part -1). Its number of documents is about ``block``, dealt by hash.
+    parts (part -1). It has about ``block`` documents and ``BLOCK_ELEMENTS`` shingles at most,
+    dealt by hash, which bounds what a task holds.
     """
     parts = members.groupBy("family", "comp").count().filter(F.col("count") >= block)
     parts = parts.select("family", "comp", F.col("comp").alias("part"))
@@ -193,7 +196,7 @@ def block_units(members: DataFrame, percent: int, block: int) -> tuple[DataFrame
         "part": F.coalesce("part", F.lit(-1)), "class": F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int"),
     })
     cell = ["family", "part", "class"]
-    cells = rows.groupBy(*cell).agg(F.ceil(F.count("*") / block).alias("pieces"))
+    cells = rows.groupBy(*cell).agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).alias("pieces"))
     rows = rows.join(cells, cell).withColumn("block", F.xxhash64(*cell, F.pmod(F.xxhash64("node"), F.col("pieces"))))
     rows = cut(rows.select("family", "part", "block", "node", "comp", "n"), "blocks")
     blocks = rows.groupBy("family", "part", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
