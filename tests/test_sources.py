@@ -108,8 +108,8 @@ def test_store_commits_by_manifest_and_replays(spark, batch, tmp_path):
     first = tuple(counts())
     assert first == (40, 40, 30, 20)
     # A batch without its manifest row is not seen.
-    half = store.table_rows(batch)["failures"]
-    half.write.parquet(f"{root}/failures/batch=b2")
+    half = store.table_rows(batch)["failures"].withColumn(store.DAY, F.to_date("created_at"))
+    half.write.partitionBy(store.DAY).parquet(f"{root}/failures/batch=b2")
     assert tuple(counts()) == first
 
 
