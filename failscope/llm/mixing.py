@@ -41,22 +41,21 @@ OWN = ("mix_source", "mix_lang", "mix_topic", "n_tokens")
 
 
 def tokens_of(text: Column) -> Column:
-    """Runs of anything but ASCII white space, counted by the places where one begins."""
-    plain = F.coalesce(F.translate(text, "\t\n\x0b\x0c\r", "     "), F.lit(""))
-    return F.size(F.array_remove(F.split(plain, " +"), "")).cast("bigint")
+    """Runs of anything but ASCII white space."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("bigint")
 
 
 def share_of(text: Column, symbols: str) -> Column:
-    n = F.length(text)
-    return (n - F.length(F.translate(text, symbols, ""))) / F.greatest(n, F.lit(1))
+    """Share of a text's characters that a regular expression for one character matches."""
+    return F.regexp_count(text, F.lit(symbols)) / F.greatest(F.length(text), F.lit(1))
 
 
 def shape_topic(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     return (
-        F.when(share_of(text, "|") >= 0.02, "table")
-        .when(share_of(text, "%$#*&<>{}[]=") >= 0.05, "markup")
-        .when(share_of(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") >= 0.3, "loud")
+        F.when(share_of(text, "[|]") >= 0.02, "table")
+        .when(share_of(text, r"[%$#*&<>{}\[\]=]") >= 0.05, "markup")
+        .when(share_of(text, "[A-Z]") >= 0.3, "loud")
         .when(F.length(text) >= 1000, "prose")
         .otherwise("short")
     )
