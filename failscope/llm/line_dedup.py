@@ -134,9 +134,11 @@ def suspects(docs: DataFrame, least: int, bits: int = FILTER_BITS) -> DataFrame:
 def dropped_keys(docs: DataFrame, least: int, least_docs: int, bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, drop): digests of the keys whose lines a document loses."""
     maybe = cut(suspects(docs, least, bits).distinct(), "suspects")
-    common = (
+    # Written, as adaptive execution splits a hot key only between two plain tables.
+    common = cut(
         maybe.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-        .filter(F.col("n") >= least_docs).select("digest", "keeper")
+        .filter(F.col("n") >= least_docs).select("digest", "keeper"),
+        "common-lines",
     )
     return (
         maybe.join(common, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
