@@ -3,7 +3,8 @@
 Each task first runs union-find over its own edges, which leaves one edge per node. Then
 large-star and small-star steps (Kiveris et al., 2014) alternate until all edges point from
 a node to the smallest node of its component. A step is a minimum per node, summed up
-before its shuffle, and a join, so nodes with many neighbours are no problem.
+before its shuffle and written, and a join of two plain tables, in which adaptive execution
+splits nodes with many neighbours.
 """
 
 from __future__ import annotations
@@ -61,10 +62,10 @@ def ended(edges: DataFrame) -> bool:
 
 def star_round(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select("lo", "hi"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
     large = cut(large, "large-star")
-    lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
+    lowest = cut(large.groupBy("hi").agg(F.min("lo").alias("m")), "lowest")
     moved = large.join(lowest, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return cut(moved.unionAll(lowest.select("hi", "m")).distinct(), "small-star")
 

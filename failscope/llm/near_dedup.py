@@ -268,6 +268,7 @@ def near_components(
     )
     keys = classes.select("node", F.explode("bands").alias("key"))
     firsts = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    firsts = cut(firsts, "firsts")
     pairs = cut(keys.join(firsts, "key").filter("node <> first").select("node", "first").distinct(), "pairs")
     nodes = pairs.select("node").unionAll(pairs.select("first")).distinct()
     nodes = cut(nodes.join(classes.select("node", "digest", "n"), "node"), "nodes")
