@@ -40,6 +40,7 @@ from .common import cut, fits, slices
 LEAST_PAGES = 5
 LEAST_SHARE = 0.2
 BROADCAST_HOSTS = 50_000
+BROADCAST_HASHES = 1_000_000
 BATCH_ROWS = 200
 
 # Fixed values of HTML.
@@ -298,10 +299,17 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     )
 
 
+def small(hosts: DataFrame) -> bool:
+    """Whether both the lists and all that they hold are few enough to go to every task."""
+    if not fits(hosts, BROADCAST_HOSTS):
+        return False
+    return (hosts.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_HASHES
+
+
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(page_id, url, text) of every row of ``pages``."""
     hosts = cut(templates(pages, least_pages, least_share), "templates").withColumnRenamed("host", "_host")
-    hosts = F.broadcast(hosts) if fits(hosts, BROADCAST_HOSTS) else hosts
+    hosts = F.broadcast(hosts) if small(hosts) else hosts
     rows = pages.select("page_id", "url", "html", F.xxhash64(host_of(F.col("url"))).alias("host"))
     rows = rows.join(hosts, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "template")
 
