@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixer
+from .common import cut, mixer
 
 REACH = 16
 SPAN = 16
@@ -145,9 +145,11 @@ def repeats(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     or the smallest of them, if they come from several documents.
     """
     parts = chunks(docs)
-    common = (
+    # Written, as adaptive execution splits a hot digest only between two plain tables.
+    common = cut(
         parts.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
-        .filter("keeper <> last").select("digest", "keeper")
+        .filter("keeper <> last").select("digest", "keeper"),
+        "common-chunks",
     )
     per_doc = parts.join(common, "digest").groupBy("doc_id").agg(
         F.sort_array(F.collect_set(F.struct("start", "stop", "keeper"))).alias("hits")
