@@ -8,8 +8,8 @@ products with all other vectors; ties go to the smaller vec_id.
    rotate all vectors, so that leading coordinates hold most of an inner product.
 3. The ``SEEDS`` longest vectors give every query a first lower bound for its k-th score.
 4. A task takes its vectors in blocks. A block is left out for a query if |q| times its
-   longest vector is below the query's bound (Cauchy-Schwarz), and so are all that follow.
-   Else partial sums over leading coordinates plus |rest of q| |rest of x| bound each
+   longest vector is below the query's bound (Cauchy-Schwarz). The blocks behind it are
+   still met: a task may read several files, and those are not in order of length. Else partial sums over leading coordinates plus |rest of q| |rest of x| bound each
    score from above; pairs whose bound stays below are pruned, level after level. Only the
    rest is scored, in integers, and raises the bounds.
 5. Each partition returns at most k pairs per query, which are ranked per query.
@@ -106,12 +106,12 @@ class Search:
         self.bound = np.full(len(ids), -np.inf)
         self.pairs = tuple(np.empty(0, np.int64) for _ in range(3))
 
-    def add(self, ids: np.ndarray, x: np.ndarray) -> bool:
-        """Meet one block of vectors; False if it is too short for every query."""
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Meet one block of vectors; one that is too short for every query costs no more than its lengths."""
         norm = np.linalg.norm(x, axis=1)
         live = np.flatnonzero(self.norm * norm.max() * (1 + SLACK) + SLACK >= self.bound)
         if not len(live):
-            return False
+            return
         turned = x @ self.turn
         first = self.steps[0]
         step = max(1, PAIRS_AT_ONCE // len(ids))
@@ -128,7 +128,6 @@ class Search:
             other = self.ids[qi] != ids[j]
             qi, j = qi[other], j[other]
             self.keep(qi, ids[j], dots(self.q[qi], x[j]))
-        return True
 
     def over(self, part, level: int, qi, rest, norm):
         most = part + self.rest[level][qi] * rest
@@ -160,13 +159,8 @@ def search(rows: DataFrame, queries: DataFrame, seeds: DataFrame, turn: np.ndarr
         ids, q, turn, bound = sent.value
         s = Search(ids, q, turn, k)
         s.bound = bound.copy()
-        more = True
-        for batch in batches:
-            for at in range(0, batch.num_rows if more else 0, ROW_BLOCK):
-                part = batch.slice(at, ROW_BLOCK)
-                more = s.add(part.column(0).to_numpy(), matrix(part.column(1), d))
-                if not more:
-                    break  # later vectors are shorter still
+        for part in slices(batches, ROW_BLOCK):
+            s.add(part.column(0).to_numpy(), matrix(part.column(1), d))
         qi, vec, score = s.pairs
         yield pa.RecordBatch.from_arrays([pa.array(ids[qi]), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
 

@@ -314,6 +314,19 @@ def test_top_k(spark, monkeypatch, block, seeds):
     assert got == brute_top(vectors, 20, 5)
 
 
+def test_top_k_reads_on_behind_short_vectors(spark, monkeypatch):
+    """Lengths over decades in more files than read tasks; files of short vectors are larger, so they are read first."""
+    monkeypatch.setattr(topk, "SEEDS", 64)
+    rng = np.random.default_rng(9)
+    rows = []
+    for i, length in enumerate(10 ** rng.uniform(-1, 3, 4000)):
+        v = rng.normal(size=3 if length > 300 else 12)
+        rows.append((i, (v * length / np.linalg.norm(v)).round(3).tolist()))
+    vectors = {i: np.floor(256 * np.pad(v, (0, 12 - len(v)))).astype(np.int64) for i, v in rows}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, every=50, k=5).collect()) == brute_top(vectors, 50, 5)
+
+
 def test_top_k_small(spark):
     frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert topk.top_k(frame([])).count() == 0
