@@ -68,9 +68,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated passages; documents without one have no row."""
-    rows = substring_dedup.repeats(table(spark, sf_dir, "documents"))
-    return rows.withColumn("dropped", F.col("keeper") != F.col("doc_id"))
+    """Repeated passages, a row per stretch with one keeper; documents without one have no row."""
+    rows = substring_dedup.stretches(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "start", "stop", "n_chunks", "keeper", "dropped")
 
 
 @query

@@ -289,6 +289,34 @@ def test_repeats_resist_shifts(spark):
     assert held > 0.85 * len(a) and {r["keeper"] for r in rows} == {1}
 
 
+def test_each_shared_chunk_survives_in_its_keeper(spark):
+    """Copies with a shared edit, a passage inside one document, and two texts of one doc_id."""
+    rng = random.Random(11)
+    a, edit, own, tail = (prose(rng, n) for n in (150, 40, 60, 80))
+    b = a[:400] + edit + a[400:]
+    rows = [(1, a), (2, b), (3, b), (4, b + tail), (5, tail + b), (6, own + " x " + own), (7, tail + own + own), (8, a), (8, edit + a), (9, a + "é" * 70), (9, "é" * 70 + a)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    first, marked = {}, defaultdict(set)
+    for r in substring_dedup.stretches(frame).collect():
+        marked[r["doc_id"], r["copy"]] |= {(x, r["keeper"], r["dropped"]) for x in range(r["start"], r["stop"])}
+    parts = substring_dedup.chunks(frame).distinct().collect()
+    for r in sorted(parts, key=lambda r: (r["doc_id"], r["copy"], r["start"])):
+        first.setdefault(bytes(r["digest"]), (r["doc_id"], r["copy"], r["start"]))
+    for r in parts:
+        home = first[bytes(r["digest"])]
+        for byte, keeper, dropped in marked[r["doc_id"], r["copy"]]:
+            if r["start"] <= byte < r["stop"]:
+                assert keeper == home[0]
+                assert dropped == (home[0] != r["doc_id"] or (home[1] == r["copy"] and home[2] < r["start"]))
+    kept = defaultdict(list)
+    for r in substring_dedup.dedup(frame).collect():
+        kept[r["doc_id"]].append(r["text"])
+    assert kept[1] == [a] and edit[40:-40] in kept[2][0] and edit[40:-40] not in kept[3][0]
+    assert tail[40:-40] in kept[4][0] and tail[40:-40] not in kept[5][0]
+    assert kept[6][0].count(own[60:-60]) == 1 and own[60:-60] not in kept[7][0]
+    assert len(kept[8]) == len(kept[9]) == 2
+
+
 # --- top-k ------------------------------------------------------------------------------
 
 def brute_top(vectors, every, k):
