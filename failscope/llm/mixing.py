@@ -3,7 +3,14 @@
 Documents fall into cells (source, language, topic); a cell's weight is its tokens. Raking
 scales the cells, margin by margin, until the weights of each source, language and topic
 have their targets. A document is then sampled with the calibrated probability of its cell:
-its share of the budget over its share of the tokens, at most 1.
+its share of the budget over its share of the tokens.
+
+No probability exceeds 1, so a cell weighs at most its tokens over the budget, its cap.
+Raking counts a full cell with its cap and goes on raising the others, so the sample itself
+meets the targets. A value whose whole tokens are less than its target takes them all, and
+the rest of its target goes to the margin's other values in proportion. ``shares`` reports
+target and share of each value. ``clip`` cuts probabilities off after a raking without caps
+instead, as the SQL twin of op4 does; the sample then misses the targets.
 
 Only cells are raked, and they are summed up before their first shuffle. One half-step is a
 sum per margin value, as a window, so a round is a linear plan; rounds are written to the
@@ -28,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import cut, fits, without
 
 MARGINS = ("source", "lang", "topic")
 FLATTEN = 0.7
@@ -36,6 +43,10 @@ BUDGET = 0.6
 ROUNDS = 24
 EVERY = 6
 TOLERANCE = 1e-12
+CAPPED_ROUNDS = 60
+CAPPED_TOLERANCE = 1e-7
+MOST = 1e200
+DRIVER_CELLS = 50_000
 DRAW_DIGITS = 13
 OWN = ("mix_source", "mix_lang", "mix_topic", "n_tokens")
 
@@ -99,6 +110,65 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return cells
 
 
+def within_caps(cells: DataFrame, targets: dict[str, DataFrame], m: str) -> DataFrame:
+    """(value, share, wanted): the margin's targets with what no value can hold given to the others.
+
+    The share is the smaller of a value's cap and its target times one factor for all. By
+    falling need of their tokens, the factor is that of the last value that gets all of them.
+    """
+    held = cells.groupBy(F.col(m).alias("value")).agg(F.sum("cap").alias("cap")).join(targets[m].withColumnRenamed("share", "wanted"), "value", "left")
+    held = held.fillna({"wanted": 0.0})
+    order = Window.partitionBy(F.lit(0)).orderBy(F.when(F.col("wanted") > 0, F.col("cap") / F.col("wanted")).otherwise(F.lit(float("inf"))), "value")
+    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("wanted").over(order.rowsBetween(0, Window.unboundedFollowing))
+    held = held.withColumn("factor", F.when(rest > 0, (1.0 - before) / rest).otherwise(0.0))
+    factor = F.max("factor").over(Window.partitionBy(F.lit(0)))
+    return held.select("value", F.least("cap", factor * F.col("wanted")).alias("share"), "wanted")
+
+
+def rake_capped(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds: int = CAPPED_ROUNDS) -> DataFrame:
+    """Cells with ``cap``, ``weight`` (at most the cap) and to_... and want_... of each margin."""
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    cells = cells.withColumn("cap", F.col("tokens").cast("double") / F.lit(float(max(total * budget, 1e-300))))
+    own = {m: cut(within_caps(cells, targets, m), "targets") for m in MARGINS}
+    for m in MARGINS:
+        cells = cells.join(own[m].select(F.col("value").alias(m), F.col("share").alias(f"to_{m}"), F.col("wanted").alias(f"want_{m}")), m)
+    cells = cut(cells.withColumn("raw", F.col("cap") * budget).withColumn("weight", F.least("raw", "cap")), "cells")
+    if fits(cells, DRIVER_CELLS):
+        return raked_here(cells, rounds)
+    for at in range(0, rounds, EVERY):
+        for _ in range(min(EVERY, rounds - at)):
+            for m in MARGINS:
+                held = F.sum(F.least("raw", "cap")).over(Window.partitionBy(m))
+                step = F.least(F.col("raw") * F.col(f"to_{m}") / held, F.lit(MOST))
+                cells = cells.withColumn("raw", F.when(held > 0, step).otherwise(0.0))
+        cells = cut(cells.withColumn("weight", F.least("raw", "cap")), "raked")
+        if (worst_margin(cells) or 0.0) <= CAPPED_TOLERANCE:
+            break
+    return cells
+
+
+def raked_here(cells: DataFrame, rounds: int) -> DataFrame:
+    """The rounds of ``rake_capped`` over few cells, on the driver."""
+    import numpy as np
+
+    rows = cells.orderBy(*MARGINS).collect()
+    if not rows:
+        return cells
+    raw, cap = (np.array([r[c] for r in rows], float) for c in ("raw", "cap"))
+    to = {m: np.array([r[f"to_{m}"] for r in rows]) for m in MARGINS}
+    at = {m: np.unique([r[m] for r in rows], return_inverse=True)[1] for m in MARGINS}
+    held = lambda m: np.bincount(at[m], np.minimum(raw, cap))[at[m]]
+    for _ in range(rounds):
+        for m in MARGINS:
+            h = held(m)
+            raw = np.where(h > 0, np.minimum(raw * to[m] / np.where(h > 0, h, 1.0), MOST), 0.0)
+        if max(np.abs(h - to[m])[h > 0].max(initial=0) for m in MARGINS for h in [held(m)]) <= CAPPED_TOLERANCE:
+            break
+    new = [{**r.asDict(), "raw": float(x), "weight": float(min(x, c))} for r, x, c in zip(rows, raw, cap, strict=True)]
+    return cells.sparkSession.createDataFrame([tuple(r[c] for c in cells.columns) for r in new], cells.schema)
+
+
 def half_step(margin: str) -> Column:
     held = F.sum("weight").over(Window.partitionBy(margin))
     return F.when(held > 0, F.col("weight") * F.col(f"to_{margin}") / held).otherwise(0.0)
@@ -120,8 +190,20 @@ def draw_of(key: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**DRAW_DIGITS))
 
 
+def cells_of(rows: DataFrame) -> DataFrame:
+    return cut(
+        rows.groupBy(*[F.col(f"mix_{m}").alias(m) for m in MARGINS]).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")),
+        "mix-cells",
+    )
+
+
+def all_targets(cells: DataFrame, targets: dict[str, DataFrame] | None, power: float) -> dict[str, DataFrame]:
+    return {m: (targets or {}).get(m) or flat_targets(cells, m, power) for m in MARGINS}
+
+
 def probabilities(
-    docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, power: float = FLATTEN, topic: Column | None = None
+    docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, power: float = FLATTEN, topic: Column | None = None,
+    clip: bool = False,
 ) -> DataFrame:
     """``docs`` with mix_source, mix_lang, mix_topic, n_tokens, probability and kept.
 
@@ -130,14 +212,16 @@ def probabilities(
     """
     rows = celled(without(docs, "probability", "kept", "_p"), topic)
     keys = {m: f"mix_{m}" for m in MARGINS}
-    cells = cut(
-        rows.groupBy(*[F.col(c).alias(m) for m, c in keys.items()]).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")),
-        "mix-cells",
-    )
-    targets = {m: (targets or {}).get(m) or flat_targets(cells, m, power) for m in MARGINS}
-    raked = rake(cells, targets)
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(budget * total) * F.col("weight") / F.col("tokens"))).otherwise(0.0)
+    cells = cells_of(rows)
+    targets = all_targets(cells, targets, power)
+    if clip:
+        raked = rake(cells, targets)
+        total = cells.agg(F.sum("tokens")).first()[0] or 0
+        p = F.least(F.lit(1.0), F.lit(budget * total) * F.col("weight") / F.col("tokens"))
+    else:
+        raked = rake_capped(cells, targets, budget)
+        p = F.col("weight") / F.col("cap")
+    p = F.when(F.col("tokens") > 0, p).otherwise(0.0)
     found = raked.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.round(p, 6).alias("_p"))
     same = [F.col(c) == F.col(f"_{m}") for m, c in keys.items()]
     return (
@@ -147,6 +231,19 @@ def probabilities(
     )
 
 
+def shares(
+    docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, power: float = FLATTEN, topic: Column | None = None
+) -> DataFrame:
+    """(margin, value, target, share, met): the expected sample's shares of the budget, and whether they are the targets."""
+    cells = cells_of(celled(docs, topic))
+    raked = rake_capped(cells, all_targets(cells, targets, power), budget)
+    parts = [
+        raked.groupBy(F.lit(m).alias("margin"), F.col(m).alias("value")).agg(F.first(f"want_{m}").alias("target"), F.sum("weight").alias("share"))
+        for m in MARGINS
+    ]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).withColumn("met", F.abs(F.col("target") - F.col("share")) <= 1e-5)
+
+
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, power: float = FLATTEN) -> DataFrame:
     """The sampled rows of ``docs``, with their columns only."""
     return probabilities(docs, targets, budget, power).filter("kept").select(*docs.columns)

@@ -86,7 +86,8 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.probabilities(table(spark, sf_dir, "documents"))
+    """Probabilities clipped after raking, as in the SQL twin; the pipeline rakes with caps."""
+    rows = mixing.probabilities(table(spark, sf_dir, "documents"), clip=True)
     return rows.select(
         "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"),
         "n_tokens", "probability", "kept",

@@ -233,6 +233,40 @@ def test_mixing_cases(spark, docs, none, texts):
     assert {r["source"] for r in mixing.sample(docs, {"source": only}, budget=50.0).collect()} == {"s1"}
 
 
+def test_the_sample_meets_the_targets(spark):
+    """Expected shares of the sampled tokens, where raking alone wants probabilities above 1."""
+    rng = random.Random(8)
+    rows = []
+    for s, l, t in itertools.product("abc", "xy", "pqr"):
+        n = rng.randint(20, 120) * (4 if s == "a" else 1) * (3 if t == "p" else 1)
+        rows += [(len(rows) + i, "w " * 10, s, l, t) for i in range(n // 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, t string")
+    goal = {"source": {"a": 0.5, "b": 0.25, "c": 0.25}, "topic": {"p": 0.4, "q": 0.3, "r": 0.3}}
+    targets = {m: spark.createDataFrame(list(v.items()), "value string, share double") for m, v in goal.items()}
+    report = {(r["margin"], r["value"]): r for r in mixing.shares(docs, targets, topic=docs["t"]).collect()}
+    # What a value holds at most is its share of the tokens over the budget.
+    total = len(rows)
+    for m, at in (("source", 2), ("topic", 4)):
+        most = {v: n / total / 0.6 for v, n in Counter(r[at] for r in rows).items()}
+        assert all(report[m, v]["target"] == want for v, want in goal[m].items())
+        assert any(want < most[v] for v, want in goal[m].items())
+        for v, want in goal[m].items():
+            assert report[m, v]["met"] == (abs(report[m, v]["share"] - want) <= 1e-5) and report[m, v]["share"] <= most[v] + 1e-9
+            if all(w <= most[u] for u, w in goal[m].items()):
+                assert report[m, v]["met"]
+            elif want > most[v]:
+                assert abs(report[m, v]["share"] - most[v]) < 1e-5
+    drawn = mixing.probabilities(docs, targets, topic=docs["t"]).collect()
+    assert abs(sum(r["probability"] for r in drawn) / total - 0.6) < 1e-4
+    clipped = mixing.probabilities(docs, targets, topic=docs["t"], clip=True).collect()
+    assert max(r["probability"] for r in clipped) == 1 and sum(r["probability"] for r in clipped) / total < 0.599
+    for m in ("source", "lang", "topic"):
+        held = defaultdict(float)
+        for r in drawn:
+            held[r[f"mix_{m}"]] += r["probability"] / total / 0.6
+        assert all(abs(report[m, v]["share"] - x) < 1e-4 for v, x in held.items())
+
+
 def draw(key):
     return int(hashlib.md5(f"mix:{key}".encode()).hexdigest()[:13], 16) / 16**13
 
