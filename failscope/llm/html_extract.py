@@ -10,7 +10,11 @@ however often they recur; containers in it (boxes, notices) are not safe.
 
 *Marked parts.* Elements that say what they are go as well: menus, page headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments, by tag, role, class or id.
-If the page marks its article (``article``, else ``main``), only that is read.
+Names of articles' sections are made of the same words ("market-share", "cookies"), so
+inside the article, and for headings, sections and other text anywhere, only names that
+can mean nothing else count, and ids of headings and sections never do.
+If the page marks its article (``article``, else ``main``) and this holds most of the text
+that is left, only that is read; teaser cards are no reason to leave out the rest.
 
 A host's list of template hashes holds at most its mean number of elements per page over
 ``LEAST_SHARE``. It is sent to the tasks if all lists together are small; else pages meet
@@ -73,6 +77,24 @@ DROP_NAMES = frozenset(
     "comment comments commentlist disqus respond reply replies related recommended share sharing social pagination pager skip "
     "toolbar login search".split()
 )
+#: The part of these that means nothing else at either end of a name.
+CLEAR_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement adsense gdpr newsletter sidebar sidenav navbar navlinks breadcrumb breadcrumbs "
+    "topbar bottombar commentlist disqus pagination pager".split()
+)
+#: Whole names that mean nothing else, though their words do.
+CLEAR_WHOLE = CLEAR_NAMES | frozenset(
+    "comments comment-list comment-form comment-section comments-area user-comments post-comments related-posts related-articles "
+    "related-stories related-links recommended-posts share-buttons share-links share-bar social-share social-links social-icons "
+    "social-media-links sharing-buttons cookie-banner cookie-notice cookie-consent cookie-bar subscribe-form subscribe-box "
+    "newsletter-signup signup-form search-form search-box login-form skip-link skip-links skip-to-content promo-box sponsored-content".split()
+)
+#: Words that also begin or end the slugs of articles' sections; outside the article they count as whole names only.
+SLUG_WORDS = frozenset(
+    "share sharing social search login related recommended alert cookie cookies consent notice notices notification promo promotion "
+    "subscribe subscription signup reply replies respond skip sponsor sponsored advertising banner header footer overlay modal popup "
+    "navigation comment masthead toolbar widget widgets".split()
+)
 #: The part of these that also marks an ``article`` as no main text.
 DROP_ARTICLES = frozenset("ad advert comment comments reply replies related recommended promo sponsored respond".split())
 #: First words of class names that only say what a wrapper holds.
@@ -80,6 +102,8 @@ HOLDS = frozenset("has with no without is not js".split())
 KEEP_TAGS = frozenset(("html", "body", "article", "main"))
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th b i em strong a span u s q code cite small sub sup br mark figcaption".split())
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)",
@@ -98,26 +122,38 @@ class Node:
         self.tag, self.drop, self.kids, self.digest = tag, drop, [], 0
 
 
-def named(value: str, names: frozenset) -> bool:
-    """Whether a class or id begins or ends with one of these words."""
+def named(value: str, ends: frozenset, whole: frozenset) -> bool:
+    """Whether a class or id begins or ends with one of some words, or is one of some names."""
     for one in value.split():
         words = [x.lower() for x in NAME.findall(one)]
-        if words and words[0] not in HOLDS and (words[0] in names or words[-1] in names):
+        if words and words[0] not in HOLDS and (words[0] in ends or words[-1] in ends or "-".join(words) in whole):
             return True
     return False
 
 
+def names_for(tag: str, kind: str, in_article: bool) -> tuple[frozenset, frozenset]:
+    """The words and whole names that mark an element by its class or id."""
+    none = frozenset()
+    slug = kind == "id"
+    if tag == "article":
+        return none if slug else DROP_ARTICLES - SLUG_WORDS, DROP_ARTICLES
+    if in_article or tag in PROSE or tag == "section":
+        if slug and (tag in HEADINGS or tag == "section"):
+            return none, none
+        return none if slug else CLEAR_NAMES, CLEAR_WHOLE
+    return DROP_NAMES - SLUG_WORDS, DROP_NAMES | CLEAR_WHOLE
+
+
 def marked(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element says that it is not main text."""
     if tag in DROP_TAGS or (tag == "header" and not in_article):
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
-    names = DROP_ARTICLES if tag == "article" else DROP_NAMES - {"header"} if in_article else DROP_NAMES
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if named(value, names):
+            if named(value, *names_for(tag, name, in_article)):
                 return True
         elif name == "role":
             if value.strip().lower() in DROP_ROLES:
@@ -247,22 +283,24 @@ def text_of(root: Node, template: frozenset, bare: bool = False) -> str:
 
 
 def main_text(page: str, template: frozenset) -> str:
-    """The article's text; of several outermost articles, all; without any, the page's."""
+    """The article's text, of several outermost articles all, if it is most of the page's; else the page's."""
     root = parse(page)
     hash_all(root)
+    whole = text_of(root, template)
     for tag in ("article", "main"):
         roots, todo = [], [root]
         while todo:
             node = todo.pop()
-            if node.drop and node is not root:
+            if node is not root and (node.drop or (node.digest in template and not safe(node, False))):
                 continue
             if node.tag == tag:
                 roots.append(node)
             else:
                 todo += [k for k in reversed(node.kids) if type(k) is Node]
-        if roots:
-            return " ".join(t for n in roots if (t := text_of(n, template)))
-    return text_of(root, template)
+        text = " ".join(t for n in roots if (t := text_of(n, template)))
+        if 2 * len(text) > len(whole):
+            return text
+    return whole
 
 
 def host_of(url: Column) -> Column:

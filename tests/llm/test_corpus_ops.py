@@ -191,6 +191,19 @@ def test_main_text(page, text):
     assert html_extract.main_text(page or "", frozenset()) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><section id='market-share'>a</section><h2 id=cookies>b</h2><section id=related-work>c</section><div id=social-impact>d</div></article>", "a b c d"),
+    ("<article>a <span class=search>b</span><div class='share-buttons'>x</div><div class=newsletter>y</div><div id=comments>z</div></article>", "a b"),
+    ("<div><section id='market-share'>a</section><h2 id=cookies>b</h2><div id=social-impact>c</div><div class=search>x</div><div class=share>y</div></div>", "a b c"),
+    ("<article id=related-work>a</article>", "a"),
+    ("<main><p>" + "long text " * 20 + "</p><article>card</article></main><p>tail", "long text " * 20 + "card"),
+    ("<div>" + "long text " * 20 + "</div><article>card one</article><article>card two</article>", "long text " * 20 + "card one card two"),
+    ("<p>tail</p><article>" + "long text " * 20 + "</article>", ("long text " * 20).strip()),
+])
+def test_slugs_and_teasers_keep_the_text(page, text):
+    assert html_extract.main_text(page, frozenset()) == text
+
+
 def test_templates_go_and_copies_stay(spark):
     shell = "<html><head><title>{0}</title></head><body><div><span>Welcome to the site {1}</span></div><div><p>{0}</p><p>Body {0}.</p></div></body></html>"
     copy = shell.format("same", "A")
