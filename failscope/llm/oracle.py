@@ -175,4 +175,150 @@ SELECT doc_id, source, lang, topic, n_tokens, p AS probability,
 FROM d JOIN p USING (source, lang, topic)
 """
 
-ORACLES = {"op4_mix_sources": OP4, "op6_top_k": OP6, "op1_decontaminate": OP1, "op7_line_dedup": OP7, "op8_near_dedup": OP8, "op9_secret_scan": OP9}
+def crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    step = "list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda x, b: {step}), 4294967295)"
+
+
+def with_cost(value: str, cost: int, letters: str) -> str:
+    return f"lpad(CAST(CAST({value}[1:6] AS INTEGER) + {cost} AS VARCHAR), 6, '0') || {value}[7:] || '{letters}'"
+
+
+def least_words() -> str:
+    """One row's step: four states (start, s, u, a), each a cost of six digits and the word so far."""
+    inserted = [[0, 2, 3], [1, 2, 3], [2, 3, 2], [3, 2, 3]]
+    to: list[list[str]] = [[], [], [], []]
+    for q in range(4):
+        for n, at in enumerate(inserted[q]):
+            value, ins = f"acc[{q + 1}]", "I" * n
+            to[at].append(with_cost(value, 2 * n + 3, ins + "D"))
+            more = f"CASE WHEN k[1][2:2] = 't' THEN {{}} ELSE {{}} END"
+            keep = lambda c, w: more.format(with_cost(value, c + 1, w), with_cost(value, c, w))  # noqa: E731, B023
+            turn, then = ("a", 3) if at == 2 else ("u", 2)
+            to[then].append(f"CASE WHEN k[1] <> 'd' THEN {keep(2 * n + 2, ins + 'R')} END")
+            to[then].append(f"CASE WHEN k[1][1:1] = '{turn}' THEN {keep(2 * n, ins + 'K')} END")
+            if at == 0:
+                to[1].append(f"CASE WHEN k[1][1:1] = 's' THEN {keep(2 * n, ins + 'K')} END")
+    return "[" + ", ".join(f"least({', '.join(w)})" for w in to) + "]"
+
+
+OP11 = rf"""
+WITH h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations
+),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))
+),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn,
+    regexp_replace(text, '{BLANK}+$', '') AS bare, substr(role, 1, 1) AS ini FROM d
+),
+f AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'duplicate'
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(ini) OVER (PARTITION BY conv_id ORDER BY rn) AS before
+  FROM o
+),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal,
+    list([CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' ELSE CASE WHEN ini IN ('s', 'u', 'a') THEN ini ELSE 'x' END
+      || CASE WHEN fault = 'truncated' THEN 't' ELSE '' END END] ORDER BY rn) AS kinds
+  FROM f GROUP BY conv_id
+),
+p AS (
+  SELECT *, list_reduce(list_prepend(['000000', NULL, NULL, NULL], kinds), lambda acc, k: {least_words()}) AS v FROM g
+),
+e AS (
+  SELECT * EXCLUDE (kinds, v), least(v[1], {with_cost('v[2]', 4, 'II')}, {with_cost('v[3]', 2, 'I')}, v[4]) AS best FROM p
+),
+l AS (
+  SELECT conv_id, i, best[6 + i:6 + i] AS c, sum(CASE WHEN c = 'I' THEN 0 ELSE 1 END) OVER w AS rn, sum(CASE WHEN c = 'D' THEN 0 ELSE 1 END) OVER w AS pos
+  FROM e, unnest(range(1, length(best) - 5)) t(i) WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+),
+m AS (
+  SELECT l.*, f.role, f.text, max(CASE WHEN pos = 1 AND c = 'K' AND f.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS s
+  FROM l LEFT JOIN f ON c <> 'I' AND l.conv_id IS NOT DISTINCT FROM f.conv_id AND l.rn = f.rn
+),
+r AS (
+  SELECT conv_id, string_agg(CASE WHEN c = 'K' THEN role WHEN (pos + s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+    CASE WHEN c = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS fixed FROM m WHERE c <> 'D' GROUP BY conv_id
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(best[1:6] AS BIGINT), 0) AS cost,
+  coalesce(best[7:], '') AS audit, sha256(coalesce(fixed, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+  LEFT JOIN r ON c.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+
+def counted(value: str) -> str:
+    return f"coalesce(CAST(strlen({value}) AS VARCHAR) || ':' || {value}, '-')"
+
+
+def leaf(n_chars: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text"]
+    return f"sha256({' || '.join(map(counted, fields))})"
+
+
+def levels(name: str, start: str) -> str:
+    """Nodes (tree, level, idx, h, n) above the given leaves."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS level, idx, h, n FROM {start}
+  UNION ALL
+  SELECT tree, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), max((n + 1) // 2) FROM {name} WHERE n > 1
+  GROUP BY tree, level, idx // 2
+)"""
+
+
+def ways(name: str, start: str, nodes: str) -> str:
+    """For each leaf its siblings as (left, right), from below."""
+    return f"""{name} AS (
+  SELECT s.tree, s.idx, list({{'l': coalesce(a.h, ''), 'r': coalesce(b.h, ''), 'h': ''}} ORDER BY v.level) FILTER (v.n > 1) AS way
+  FROM {start} s JOIN {nodes} v ON v.tree = s.tree AND v.idx = s.idx >> v.level
+  LEFT JOIN {nodes} a ON a.tree = v.tree AND a.level = v.level AND v.idx % 2 = 1 AND a.idx = v.idx - 1
+  LEFT JOIN {nodes} b ON b.tree = v.tree AND b.level = v.level AND v.idx % 2 = 0 AND b.idx = v.idx + 1
+  GROUP BY s.tree, s.idx
+)"""
+
+
+OP13 = f"""
+WITH RECURSIVE x AS (
+  SELECT coalesce('v' || lang, 'n') AS tree, doc_id, {leaf('n_chars')} AS h,
+    CASE WHEN {crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {leaf('n_chars + 1')} END AS bent
+  FROM documents
+),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM x
+),
+{levels('nodes', 'leaves')},
+subs AS (SELECT tree AS lang, h, 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{levels('tops', 'subs')},
+{ways('low', 'leaves', 'nodes')},
+{ways('high', 'subs', 'tops')},
+p AS (
+  SELECT e.doc_id, e.h AS leaf, e.bent, s.h AS subroot, t.h AS root, list_concat(coalesce(low.way, []), coalesce(high.way, [])) AS way
+  FROM leaves e JOIN low USING (tree, idx) JOIN subs s ON s.lang = e.tree JOIN high ON high.idx = s.idx JOIN tops t ON t.n = 1
+),
+q AS (
+  SELECT *, list_reduce(list_prepend({{'l': '', 'r': '', 'h': coalesce(bent, leaf)}}, way),
+    lambda a, b: {{'l': '', 'r': '', 'h': sha256(b.l || a.h || b.r)}}).h AS folded_root,
+    sha256(coalesce(array_to_string(list_transform(way, lambda w: w.l || w.r), ''), '')) AS proof_sha256
+  FROM p
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM q
+"""
+
+
+ORACLES = {
+    "op4_mix_sources": OP4, "op6_top_k": OP6, "op1_decontaminate": OP1, "op7_line_dedup": OP7, "op8_near_dedup": OP8,
+    "op9_secret_scan": OP9, "op11_conversation_repair": OP11, "op13_merkle_manifest": OP13,
+}

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, html_extract, langid, line_dedup, mixing, near_dedup, secrets, sharding, substring_dedup, topk,
+    conversations, decontaminate, fingerprints, html_extract, langid, line_dedup, merkle, mixing, near_dedup, secrets, sharding,
+    substring_dedup, topk,
 )
 from .common import table
 
@@ -92,3 +93,18 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"),
         "n_tokens", "probability", "kept",
     )
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
