@@ -7,9 +7,7 @@ lists and trees. Rows stay distributed.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer, StringIndexer,
     StringIndexerModel, VectorAssembler,
@@ -24,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from . import features
+from . import boosting, features
 from .parallel import FEW, few_values, per_group
 from .sampling import class_weights
 
@@ -191,14 +189,10 @@ def train_random_forest(
 
 
 def train_gradient_boosting(
-    train: DataFrame, rounds: int = 50, depth: int = 3, rate: float = 0.1, seed: int = 42,
-    parallelism: int = 6,
-):
-    """Boosted trees, one binary model per class, classes trained side by side."""
-    gbt = GBTClassifier(
-        featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed
-    )
-    return OneVsRest(classifier=gbt, labelCol="label", featuresCol="features", parallelism=parallelism).fit(train)
+    train: DataFrame, rounds: int = 50, depth: int = 3, rate: float = 0.1, classes: int | None = None
+) -> boosting.BoostedClasses:
+    """Boosted trees of all classes together: softmax residuals, one tree per class and round."""
+    return boosting.fit(train, rounds, depth, rate, classes)
 
 
 def train_text_baseline(
@@ -260,19 +254,7 @@ def tune_grid(train: DataFrame, trees=(50, 100), depths=(10, 20), folds: int = 3
 
 def class_probabilities(model, df: DataFrame) -> DataFrame:
     """Add ``probabilities`` (array in class order) for a forest or a boosted model."""
-    scored = model.transform(df)
-    if "probability" in scored.columns:
-        return scored.withColumn("probabilities", vector_to_array("probability"))
-    # One-versus-rest gives margins only. Each binary model's probability is the
-    # logistic of twice its margin; the shares are then scaled to sum to one.
-    margins = vector_to_array("rawPrediction")
-    single = F.transform(margins, lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * m)))
-    total = F.aggregate("_p", F.lit(0.0), lambda acc, p: acc + p)
-    return (
-        scored.withColumn("_p", single)
-        .withColumn("probabilities", F.transform("_p", lambda p: p / total))
-        .drop("_p")
-    )
+    return model.transform(df).withColumn("probabilities", vector_to_array("probability"))
 
 
 def _decide(df: DataFrame, classes: list[str], model_name: str) -> DataFrame:

@@ -31,14 +31,16 @@ class TrainingSet:
         self.rows = rows.select(*columns, *models.CATEGORY_COLUMNS, *models.NUMBER_COLUMNS)
         classes = vocab.ROOT_CAUSES
         self.key = key
-        split = stratified_split(self.rows, "root_cause", key, test_share, classes=classes)
+        # Each side is used many times; written ones keep the plans of what follows small.
+        split = cut(stratified_split(self.rows, "root_cause", key, test_share, classes=classes), "split")
         self.test_rows = split.filter("side = 'test'")
         self.train_rows = bounded(split.filter("side = 'train'"), "root_cause", key, cap, classes)
         fit_on = bounded(self.rows, "root_cause", key, cap, classes) if fit_before_split else self.train_rows
         self.stages = models.fit_features(fit_on, key, message_terms, trace_terms)
         if fit_before_split:
             fit_on.unpersist()
-        self.train = models.with_class_weights(models.prepare(self.stages, self.train_rows, keep=(key,))).persist()
+        prepared = models.prepare(self.stages, self.train_rows, keep=(key,))
+        self.train = in_key_order(cut(models.with_class_weights(prepared), "train"), key)
 
     def features(self) -> DataFrame:
         """Features of all rows, also of those without a known class."""
@@ -63,8 +65,11 @@ class TrainingSet:
 def bounded(rows: DataFrame, label: str, key: str, cap: int = 2000, classes: list | None = None) -> DataFrame:
     """At most ``cap`` rows per class to fit on, kept, in an order that does not depend on
     the input's partitions: fits draw their rows by position."""
-    some = cap_per_class(rows, label, key, cap, classes=classes)
-    return some.repartition(key).sortWithinPartitions(key).persist()
+    return in_key_order(cut(cap_per_class(rows, label, key, cap, classes=classes), "bounded"), key)
+
+
+def in_key_order(rows: DataFrame, key: str) -> DataFrame:
+    return rows.repartition(key).sortWithinPartitions(key).persist()
 
 
 def report(model, test: DataFrame, name: str, classes: list[str] | None = None) -> DataFrame:
@@ -73,7 +78,8 @@ def report(model, test: DataFrame, name: str, classes: list[str] | None = None)
     scored = model.transform(test).select(
         F.col("root_cause").alias("truth"), F.get(names, F.col("prediction").cast("int")).alias("guess")
     )
-    return evaluate.metrics_table(scored, name, "truth", "guess")
+    # A few rows; whoever judges them several times need not score again.
+    return cut(evaluate.metrics_table(scored, name, "truth", "guess"), "metrics")
 
 
 @dataclass

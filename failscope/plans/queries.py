@@ -929,7 +929,7 @@ def baseline(spark, d, columns, fit):
         model = fit(train)
         back = IndexToString(inputCol="prediction", outputCol="guess", labels=model_labels(model))
         scored = back.transform(model.transform(split.filter("side = 'test'")))
-        return store.cut(judged(evaluate.metrics_table(scored, "Baseline", "failure_type", "guess")), "baseline")
+        return judged(store.cut(evaluate.metrics_table(scored, "Baseline", "failure_type", "guess"), "baseline"))
     finally:
         train.unpersist()
 

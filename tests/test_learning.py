@@ -18,10 +18,12 @@ from failscope.plans.views import view
 @pytest.fixture(scope="module")
 def skewed(spark):
     """One label holds most rows."""
-    return spark.range(3000).select(
+    rows = spark.range(3000).select(
         F.concat(F.lit("k"), "id").alias("k"),
         F.expr("case when id % 10 < 8 then 'hot' when id % 10 = 8 then 'warm' else concat('c', id % 3) end").alias("g"),
     ).cache()
+    yield rows
+    rows.unpersist()
 
 
 @pytest.mark.parametrize("cap", [0, 1, 137, 2000, 5000])
@@ -36,7 +38,7 @@ def test_cap_is_the_lowest_draws(skewed, cap):
 
 
 def test_split_sizes(skewed):
-    split = sampling.stratified_split(skewed, "g", "k").cache()
+    split = sampling.stratified_split(skewed, "g", "k")
     assert split.count() == 3000
     sizes = {r["g"]: r for r in split.groupBy("g").agg(F.count("*").alias("n"), F.count_if(F.col("side") == "test").alias("t")).collect()}
     for r in sizes.values():
@@ -146,8 +148,8 @@ def test_whole_training_flow(spark, data_dir, tmp_path):
 
 
 def test_unseen_categories_get_minus_one(spark):
-    train = spark.createDataFrame([("b",), ("a",)], "c string")
-    df = spark.createDataFrame([("a",), ("b",), ("z",), (None,)], "c string")
+    train = spark.createDataFrame([("b",), ("a",)], "c_given string")
+    df = spark.createDataFrame([("a",), ("b",), ("z",), (None,)], "c_given string")
     for stage in models.category_stages(train, ["c"]):
         df = stage.transform(df)
     assert [r["c_code"] for r in df.collect()] == [0.0, 1.0, -1.0, -1.0]

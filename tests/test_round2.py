@@ -14,7 +14,9 @@ from failscope.sources import readers, schemas, store
 
 @pytest.fixture(scope="module")
 def failures(spark, data_dir):
-    return view(spark, data_dir, "failures_src").cache()
+    rows = view(spark, data_dir, "failures_src").cache()
+    yield rows
+    rows.unpersist()
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +59,7 @@ def test_baselines_and_grid(spark, data_dir, prepared):
     assert len(grid.avgMetrics) == 2 and all(0 <= x <= 1 for x in grid.avgMetrics)
     boosted = models.train_gradient_boosting(prepared.train, rounds=1)
     assert report(boosted, prepared.test(), "b").filter("metric = 'accuracy'").first()["value"] <= 1
+    runs.unpersist()
 
 
 def test_indexed_columns_must_be_categories(spark):
