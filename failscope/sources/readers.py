@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions import vocab
 from ..functions.columns import NUMBER, UNICODE, first_filled, strip
 from . import schemas
+from .records import csv_records, parse_records
 
 
 def scan_csv(
@@ -17,22 +18,27 @@ def scan_csv(
     schema: StructType,
     multiline: bool = True,
     missing_texts: list[str] | None = None,
+    whole_files: bool = False,
 ) -> DataFrame:
     """CSV with header, all text, doubled quotes as escape, bad bytes as U+FFFD.
 
-    Messages and traces hold line breaks, so cells may span lines; such files cannot be
-    split, so a data set should come as many files. ``multiline=False`` splits them.
+    Messages and traces hold line breaks, so cells may span lines. Large files are still read by
+    many tasks, which find the records first (see ``records``); ``whole_files`` reads a file with
+    such cells in one task instead, and ``multiline=False`` takes every line for a record.
     ``missing_texts`` lists cell texts to read as null.
     """
-    df = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", multiline)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .csv(path)
-    )
+    if multiline and not whole_files:
+        df = parse_records(csv_records(spark, path), schema)
+    else:
+        df = (
+            spark.read.schema(schema)
+            .option("header", True)
+            .option("multiLine", multiline)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("encoding", "UTF-8")
+            .csv(path)
+        )
     if missing_texts:
         df = df.select(*[F.when(~F.col(c).isin(missing_texts), F.col(c)).alias(c) for c in df.columns])
     return df
@@ -52,8 +58,7 @@ def scan_csv_training(
 def sink_csv_training(df: DataFrame, path: str, file_rows: int = 1_000_000) -> None:
     """Write the training fields with header; quotes are doubled.
 
-    Cells may hold line breaks, so the files cannot be split when they are read;
-    ``file_rows`` bounds each of them.
+    ``file_rows`` bounds each file, for readers that cannot split files whose cells hold line breaks.
     """
     (
         df.select(*[F.col(c).cast("string").alias(c) for c in schemas.TRAINING_FIELDS])

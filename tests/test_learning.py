@@ -81,21 +81,48 @@ def test_vector_form_equals_long_form(spark, data_dir):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
-@pytest.mark.parametrize("block", [7, 50, 2000])
-def test_neighbours_for_any_block_size(spark, block):
+@pytest.mark.parametrize("block,cell", [(7, 250), (50, 10), (2000, 3), (3, 1)])
+def test_neighbours_for_any_block_size(spark, block, cell):
     rng = np.random.default_rng(1)
     points = rng.normal(size=(120, 4)).round(1)
     points[100:110] = points[0]  # copies
     labels = ["a" if i % 4 else "b" for i in range(120)]
     df = spark.createDataFrame([(i, labels[i], points[i].tolist()) for i in range(120)], "k long, g string, v array<double>")
     got = {}
-    for r in oversample.knn_within_class(df, "g", "k", "v", 3, block).collect():
+    for r in oversample.knn_within_class(df, "g", "k", "v", 3, block, cell_rows=cell).collect():
         got.setdefault(r["k"], []).append((r["rank"], r["neighbor"], round(r["distance"], 9)))
     for i in range(120):
         d = sorted((round(float(np.sqrt(((points[i] - points[j]) ** 2).sum())), 9), j) for j in range(120) if j != i and labels[j] == labels[i])
         assert [x[1:] for x in sorted(got[i])] == [(j, x) for x, j in d[:3]]
 
 
+def test_few_cells_are_visited(spark, monkeypatch):
+    """20,000 rows of one class, a fifth of them alike: exact for a sample, below a fifth of all pairs."""
+    rng = np.random.default_rng(2)
+    n = 20_000
+    points = np.concatenate([rng.normal(size=(n * 4 // 5, 3)), np.tile([[0.5, 0.5, 0.5]], (n // 5, 1))])
+    df = spark.createDataFrame([(i, "a", p.tolist(), i % 7 == 0) for i, p in enumerate(points)], "k long, g string, v array<double>, q boolean")
+    seen = []
+    plain = oversample.compare
+
+    def counted(queries, candidates, *rest):
+        a = queries.groupBy("_cell").agg(F.count("*").alias("nq"))
+        seen.append(a.join(candidates.groupBy("_cell").agg(F.count("*").alias("nc")), "_cell").agg(F.sum(F.col("nq") * F.col("nc"))).first()[0])
+        return plain(queries, candidates, *rest)
+
+    monkeypatch.setattr(oversample, "compare", counted)
+    got = {}
+    for r in oversample.knn_within_class(df, "g", "k", "v", 4, asks="q").collect():
+        got.setdefault(r["k"], []).append((r["rank"], r["neighbor"]))
+    asked = range(0, n, 7)
+    assert sorted(got) == list(asked) and len(seen) == 2 and seen[1] > 0
+    assert sum(seen) < len(asked) * n / 5
+    for i in [*range(0, n, 7 * 31), n * 4 // 5 + 5 - (n * 4 // 5 + 5) % 7]:
+        d = np.sqrt(((points[i] - points) ** 2).sum(axis=1))
+        d[i] = np.inf
+        assert [j for _, j in sorted(got[i])] == np.argsort(d, kind="stable")[:4].tolist()
+
+
 def test_smote_levels_the_classes(spark):
     rows = [(i, "a", [float(i), 0.0]) for i in range(40)] + [(100 + i, "b", [float(i), 1.0]) for i in range(7)]
     df = spark.createDataFrame(rows, "k long, g string, v array<double>")
