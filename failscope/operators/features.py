@@ -79,6 +79,55 @@ def vocabulary_topk(statistics: DataFrame, k: int) -> DataFrame:
     return statistics.orderBy(F.desc("total"), "term").limit(k)
 
 
+TRACKED_PER_TERM = 32
+MOST_TRACKED = 1_000_000
+LANES = 64
+#: Largest miscount of a frequent-items sketch, as a multiple of total / tracked items.
+SKETCH_ERROR = 3.5
+
+
+def candidate_terms(docs: DataFrame, term_array: str, tracked: int) -> list:
+    """Terms, with upper bounds of their counts, that one frequent-items sketch keeps.
+
+    Tasks send sketches of a fixed size, never their terms; sketches meet in ``LANES`` groups first.
+    """
+    each = docs.select(F.explode(term_array).alias("term"), F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("lane"))
+    sketches = each.groupBy("lane").agg(F.expr(f"approx_top_k_accumulate(term, {tracked})").alias("sketch"))
+    whole = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    found = whole.select(F.expr(f"approx_top_k_estimate(sketch, {tracked})").alias("items")).first()
+    return found["items"] if found and found["items"] else []
+
+
+def vocabulary(docs: DataFrame, doc: str, k: int, term_array: str = "terms", tracked: int | None = None) -> DataFrame:
+    """(term, total, df) of the ``k`` most frequent terms, exactly, without shuffling all terms.
+
+    A sketch names candidates; only these are counted. A term it does not name occurs at most
+    ``SKETCH_ERROR`` * n / tracked times, and no more often than what the candidates leave of
+    all n occurrences. If the k-th candidate occurs more often, the result is proven; else a
+    sketch four times as large is asked. Beyond ``MOST_TRACKED`` all terms are grouped.
+    """
+    n = docs.agg(F.sum(F.size(term_array)).alias("n")).first()["n"] or 0
+    spark = docs.sparkSession
+    tracked = min(tracked or max(1024, TRACKED_PER_TERM * k), MOST_TRACKED)
+    while n:
+        items = candidate_terms(docs, term_array, tracked)
+        # At most ``tracked`` terms, which is what bounds the broadcast.
+        names = F.broadcast(spark.createDataFrame([(r["item"],) for r in items], "term string"))
+        kept = docs.select(doc, F.sort_array(term_array).alias(term_array))
+        counted = cut(term_statistics(term_counts(kept, doc, term_array).join(names, "term")), "candidates")
+        sums = counted.agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("terms")).first()
+        least = counted.orderBy(F.desc("total"), "term").limit(k).agg(F.min("total").alias("t")).first()["t"]
+        unseen = SKETCH_ERROR * n / tracked
+        if len(items) >= tracked:  # some that the sketch holds were cut off
+            unseen = max(unseen, min(r["count"] for r in items))
+        if sums["n"] == n or (sums["terms"] >= k and least > min(unseen, n - sums["n"])):
+            return vocabulary_topk(counted, k)
+        if tracked == MOST_TRACKED:
+            break
+        tracked = min(4 * tracked, MOST_TRACKED)
+    return vocabulary_topk(term_statistics(term_counts(docs, doc, term_array)), k)
+
+
 def idf(n_docs: Column, df: str | Column = "df") -> Column:
     """Smoothed: ln((1 + N) / (1 + df)) + 1."""
     return F.ln((F.lit(1.0) + n_docs) / (F.lit(1.0) + col(df))) + F.lit(1.0)
@@ -105,9 +154,9 @@ def tfidf(
         tokens = remove_stop_words(tokens, stop_words)
     tokenized = df.select(doc, tokens.alias("_words")).select(doc, terms(F.col("_words"), bigrams).alias("terms"))
     counts = term_counts(tokenized, doc)
-    vocabulary = idf_table(vocabulary_topk(term_statistics(counts), k), df)
+    known = idf_table(vocabulary(tokenized, doc, k), df)
     tf = F.lit(1.0) + F.ln("tf") if sublinear else F.col("tf").cast("double")
-    weighted = counts.join(F.broadcast(vocabulary.select("term", "idf")), "term").select(
+    weighted = counts.join(F.broadcast(known.select("term", "idf")), "term").select(
         doc, F.struct("term", (tf * F.col("idf")).alias("w")).alias("e")
     )
     rows = weighted.groupBy(doc).agg(F.array_sort(F.collect_list("e")).alias("es"))

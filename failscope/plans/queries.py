@@ -767,20 +767,18 @@ def tokenize_terms(spark, d):
     )
 
 
-def _statistics(spark, d):
-    counts = features.term_counts(features.tokenize_terms(documents(spark, d), "text"), "doc_id")
-    return features.term_statistics(counts)
+def _vocabulary(spark, d):
+    return features.vocabulary(features.tokenize_terms(documents(spark, d), "text"), "doc_id", 500)
 
 
 @query
 def vocabulary_topk(spark, d):
-    return features.vocabulary_topk(_statistics(spark, d), 500)
+    return _vocabulary(spark, d)
 
 
 @query
 def idf_table(spark, d):
-    vocabulary = features.vocabulary_topk(_statistics(spark, d), 500)
-    return features.idf_table(vocabulary, documents(spark, d)).select(
+    return features.idf_table(_vocabulary(spark, d), documents(spark, d)).select(
         "term", "df", F.round("idf", 6).alias("idf")
     )
 

@@ -66,6 +66,35 @@ def test_terms_and_weights_by_hand(spark):
     assert len(got) == 3
 
 
+@pytest.mark.parametrize("k,tracked", [(3, 4), (20, 40), (20, 20), (500, 50), (1, 1)])
+def test_vocabulary_from_sketches_is_exact(spark, k, tracked):
+    """Zipf-like and flat counts, with ties at the k-th place, from sketches too small at first."""
+    rng = np.random.default_rng(6)
+    texts = [[f"t{min(int(x), 3000)}" for x in rng.zipf(1.4, 40)] for _ in range(300)] + [[f"u{i}", f"u{i + 1}"] for i in range(0, 400, 2)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, []), (-2, None)], "d long, terms array<string>").repartition(5)
+    total, held = {}, {}
+    for terms in texts:
+        for t in terms:
+            total[t] = total.get(t, 0) + 1
+        for t in set(terms):
+            held[t] = held.get(t, 0) + 1
+    want = sorted(((-n, t) for t, n in total.items()))[:k]
+    got = features.vocabulary(df, "d", k, tracked=tracked).collect()
+    assert [(r["term"], r["total"], r["df"]) for r in got] == [(t, -n, held[t]) for n, t in want]
+    assert features.vocabulary(df.filter("d < 0"), "d", k).collect() == []
+
+
+def test_vocabulary_shuffles_sketches_not_terms(spark):
+    """Ten times as many distinct terms, as many shuffled rows."""
+    from failscope.operators.features import candidate_terms
+
+    def names(rare):
+        rows = [(i, ["often"] * 20 + ["more often"] * 40 + [f"r{i}-{j}" for j in range(rare)]) for i in range(200)]
+        return {r["item"] for r in candidate_terms(spark.createDataFrame(rows, "d long, terms array<string>").repartition(4), "terms", 64)}
+
+    assert all({"often", "more often"} <= names(n) and len(names(n)) <= 64 for n in (5, 50))
+
+
 def test_vector_form_equals_long_form(spark, data_dir):
     docs = view(spark, data_dir, "failures_src").select("test_id", "error_message")
     stages = models.text_stages(docs, "test_id", "error_message", 40)
