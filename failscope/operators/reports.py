@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.columns import lookup, title_case
+from ..sources import schemas
 
 
 def _rows() -> Column:
@@ -36,7 +37,6 @@ def failure_trend(
     The time range filter comes first, so files can be skipped by their statistics.
     With ``fallback`` an empty window shows falling numbers from the table's total.
     """
-    spark = failures.sparkSession
     now = F.lit(as_of).cast(failures.schema[time].dataType)
     stamp = F.col(time)
     counts = (
@@ -44,7 +44,12 @@ def failure_trend(
         .groupBy(F.to_date(time).alias("day"))
         .agg(_rows().alias("n"))
     )
-    spine = spark.range(days).select(
+    return _trend(counts, now, days, failures.agg(_rows().alias("n")).scalar() if fallback else None)
+
+
+def _trend(counts: DataFrame, now: Column, days: int, total: Column | None) -> DataFrame:
+    """Zero-filled days from (day, n) counts; with ``total`` an empty window shows falling numbers."""
+    spine = counts.sparkSession.range(days).select(
         F.col("id").alias("position"),
         F.date_sub(F.to_date(now), F.lit(days - 1) - F.col("id").cast("int")).alias("day"),
     )
@@ -53,9 +58,8 @@ def failure_trend(
         F.date_format("day", "E dd").alias("name"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("failures"),
     )
-    if fallback:
+    if total is not None:
         seen = trend.agg(F.sum("failures").alias("n")).scalar()
-        total = failures.agg(_rows().alias("n")).scalar()
         falling = F.greatest(F.lit(0), total - F.col("position")).cast("bigint")
         trend = trend.withColumn(
             "failures", F.when((seen == 0) & (total > 0), falling).otherwise(F.col("failures"))
@@ -63,9 +67,46 @@ def failure_trend(
     return trend
 
 
+# --- the same from a store's counters -----------------------------------------------------
+
+def _counted(counts: DataFrame, table: str, dimension: str) -> DataFrame:
+    return counts.filter((F.col("table_name") == table) & (F.col("dimension") == dimension)).select("value", "n")
+
+
+def summary_from_counters(counts: DataFrame) -> DataFrame:
+    """``summary_counts`` from ``store.counters``."""
+    of = lambda t: F.sum(F.when((F.col("table_name") == t) & (F.col("dimension") == "all"), F.col("n")))
+    return counts.agg(*[F.coalesce(of(t), F.lit(0)).cast("bigint").alias(f"total_{t}") for t in schemas.TABLES])
+
+
+def trend_from_counters(counts: DataFrame, as_of: str | datetime, days: int = 7, fallback: bool = False) -> DataFrame:
+    """``failure_trend`` from ``store.counters``."""
+    by_day = _counted(counts, "failures", "day").select(F.to_date("value").alias("day"), "n")
+    total = _counted(counts, "failures", "all").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar() if fallback else None
+    return _trend(by_day, F.lit(as_of).cast("timestamp"), days, total)
+
+
+def breakdown_from_counters(counts: DataFrame) -> DataFrame:
+    """``root_cause_breakdown`` from ``store.counters``."""
+    return _named_causes(_counted(counts, "failures", "root_cause").select(F.col("value").alias("root_cause"), F.col("n").alias("value")))
+
+
+def risk_from_counters(counts: DataFrame) -> DataFrame:
+    """``risk_distribution`` from ``store.counters``."""
+    levels = F.array(*[F.lit(r) for r in vocab.RISK_LEVELS])
+    spine = counts.sparkSession.range(1).select(F.explode(levels).alias("name"))
+    found = _counted(counts, "flaky_tests", "risk_level")
+    return spine.join(found, F.lower("name") == F.col("value"), "left").select(
+        "name", F.coalesce("n", F.lit(0)).cast("bigint").alias("value")
+    )
+
+
 def root_cause_breakdown(failures: DataFrame) -> DataFrame:
     """Count per cause with display name and color."""
-    counts = failures.groupBy("root_cause").agg(_rows().alias("value"))
+    return _named_causes(failures.groupBy("root_cause").agg(_rows().alias("value")))
+
+
+def _named_causes(counts: DataFrame) -> DataFrame:
     color = lookup(F.col("root_cause"), vocab.CAUSE_COLORS, vocab.OTHER_COLOR)
     return counts.select(title_case("root_cause").alias("name"), "value", color.alias("color"))
 

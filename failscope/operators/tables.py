@@ -1,11 +1,13 @@
-"""Lookups, joins and changes of the stored tables. Changes return new snapshots."""
+"""Lookups, joins and changes of the stored tables.
+
+Changes of tables return new tables; ``store_`` forms write change records into a store."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources import schemas
+from ..sources import schemas, store
 
 
 def lookup_failure(failures: DataFrame, test_id: str) -> DataFrame:
@@ -105,6 +107,61 @@ def apply_heal(
     return new_failures, new_healing
 
 
+def _record(operation: str, status: str | None = None, healing: str | None = None) -> list:
+    return [F.lit(v).cast("string").alias(n) for n, v in (("operation", operation), ("status", status), ("healing", healing))]
+
+
+def store_heal(spark: SparkSession, root: str, keys: DataFrame, batch: str, only_suggested: bool = False) -> bool:
+    """``apply_heal`` in a store, as a change that holds the healed keys only.
+
+    False if the change ``batch`` was made before; then nothing is written.
+    """
+    if store.state(spark, root, batch).known:
+        return False
+    failures, healing = (store.scan_table(spark, root, n) for n in ("failures", "healing_actions"))
+    asked = keys.select("test_id").distinct()
+    found = failures.join(asked, "test_id", "left_semi")
+    if only_suggested:
+        wanted = found.filter(F.col("healing") == "Suggested").select("test_id").distinct()
+        found = found.join(wanted, "test_id", "left_semi")
+    found = store.cut(found.select("id", "test_id"), "healed")
+    first = (
+        healing.join(found.select(F.col("test_id").alias("failure_test_id")).distinct(), "failure_test_id", "left_semi")
+        .groupBy("failure_test_id").agg(F.min("id").alias("id"))
+    )
+    return store.write_changes({
+        "failures": found.select("id", *_record("set", "HEALED", "Applied")),
+        "healing_actions": first.select("id", *_record("set", "Applied")),
+    }, root, batch)
+
+
+def store_delete(spark: SparkSession, root: str, keys: DataFrame, batch: str) -> bool:
+    """``delete_cascade`` in a store, as a change that holds the keys of deleted rows only."""
+    if store.state(spark, root, batch).known:
+        return False
+    tables = {name: store.scan_table(spark, root, name) for name in schemas.TABLES}
+    known = keys.select("test_id").distinct().join(tables["failures"], "test_id", "left_semi")
+    known = store.cut(known, "deleted")
+    gone = {}
+    for name, df in tables.items():
+        key = schemas.FAILURE_KEYS[name]
+        gone[name] = df.join(known.select(F.col("test_id").alias(key)), key, "left_semi")
+    return _lose(gone, root, batch)
+
+
+def store_delete_one(spark: SparkSession, root: str, name: str, keys: DataFrame, key: str, batch: str) -> bool:
+    """``delete_one`` in a store, as a change."""
+    if store.state(spark, root, batch).known:
+        return False
+    return _lose({name: store.scan_table(spark, root, name).join(keys.select(key), key, "left_semi")}, root, batch)
+
+
+def _lose(gone: dict[str, DataFrame], root: str, batch: str) -> bool:
+    counted = ("id", "root_cause", "created_at", "risk_level")
+    gone = {n: store.cut(df.select(*[c for c in counted if c in df.columns]), "gone") for n, df in gone.items()}
+    return store.write_changes({n: df.select("id", *_record("delete")) for n, df in gone.items()}, root, batch, gone)
+
+
 def delete_cascade(tables: dict[str, DataFrame], keys: DataFrame) -> dict[str, DataFrame]:
     """Remove failures and everything tied to them; one anti join per table.
 

@@ -378,6 +378,18 @@ def oracles(stop_words: list[str]) -> dict[str, str]:
         f"UNION ALL SELECT 'notifications', id, NULL FROM notifications WHERE failure_test_id NOT IN {third}"
     )
 
+    o["counted_store"] = sql(
+        "SELECT 'summary' AS report, 'total_failures' AS name, (SELECT count(*) FROM left_f) AS value UNION ALL "
+        f"SELECT 'summary', 'total_healing_actions', (SELECT count(*) FROM healing_actions WHERE failure_test_id NOT IN {third}) UNION ALL "
+        "SELECT 'summary', 'total_flaky_tests', (SELECT count(*) FROM left_t) UNION ALL "
+        f"SELECT 'summary', 'total_notifications', (SELECT count(*) FROM notifications WHERE failure_test_id NOT IN {third}) UNION ALL "
+        f"SELECT 'cause', {title('root_cause')}, count(*) FROM left_f GROUP BY root_cause UNION ALL "
+        "SELECT 'risk', name, (SELECT count(*) FROM left_t WHERE lower(risk_level) = lower(name)) FROM (SELECT unnest(['High', 'Medium', 'Low']) AS name) UNION ALL "
+        "SELECT 'trend', strftime(day, '%a %d'), (SELECT count(*) FROM left_f WHERE CAST(created_at AS DATE) = day) "
+        f"FROM (SELECT CAST(TIMESTAMP '{AS_OF}' - to_days(CAST(i AS INTEGER)) AS DATE) AS day FROM range(7) t(i))",
+        left_f=f"SELECT * FROM failures WHERE test_id NOT IN {third}", left_t=f"SELECT * FROM flaky_tests WHERE test_code NOT IN {third}",
+    )
+
     o["drop_null_target"] = sql("SELECT id, root_cause FROM dirty_src WHERE root_cause IS NOT NULL")
     o["normalize_label"] = sql(f"SELECT id, lower({strip('root_cause')}) AS root_cause FROM dirty_src")
     o["valid_class_filter"] = sql(

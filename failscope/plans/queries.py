@@ -200,16 +200,16 @@ def failures_of_days(spark, d):
     return rows.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("failures"))
 
 
+def _every_third(keys):
+    return keys.filter(F.substring("test_id", 6, 8).cast("bigint") % 3 == 0)
+
+
 @query
 def changed_store(spark, d):
     """Save, heal, delete every third, compact, and read what is left."""
     root, keys = _saved(spark, d), key_list(spark, d)
-    now = {name: store.scan_table(spark, root, name) for name in schemas.TABLES}
-    failures, healing = tables.apply_heal(now["failures"], now["healing_actions"], keys)
-    store.write_snapshot({"failures": failures, "healing_actions": healing}, spark, root)
-    now = {name: store.scan_table(spark, root, name) for name in schemas.TABLES}
-    third = keys.filter(F.substring("test_id", 6, 8).cast("bigint") % 3 == 0)
-    store.write_snapshot(tables.delete_cascade(now, third), spark, root)
+    tables.store_heal(spark, root, keys, "healed")
+    tables.store_delete(spark, root, _every_third(keys), "deleted")
     store.compact(spark, root)
     left = [
         store.scan_table(spark, root, name).select(
@@ -613,6 +613,22 @@ def root_cause_breakdown(spark, d):
     return reports.root_cause_breakdown(stored(spark, d)["failures"])
 
 
+@query
+def counted_store(spark, d):
+    """Totals, causes, days and risk levels of a store after repairs and deletions, from its counters."""
+    root, keys = _saved(spark, d), key_list(spark, d)
+    tables.store_heal(spark, root, keys, "healed")
+    tables.store_delete(spark, root, _every_third(keys), "deleted")
+    counts = store.counters(spark, root)
+    totals = reports.summary_from_counters(counts)
+    totals = totals.unpivot([], totals.columns, "name", "value")
+    parts = {
+        "summary": totals, "cause": reports.breakdown_from_counters(counts), "risk": reports.risk_from_counters(counts),
+        "trend": reports.trend_from_counters(counts, AS_OF).withColumnRenamed("failures", "value"),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("report"), "name", F.col("value").cast("bigint").alias("value")) for k, df in parts.items()])
+
+
 @query
 def risk_distribution(spark, d):
     return reports.risk_distribution(stored(spark, d)["flaky_tests"])

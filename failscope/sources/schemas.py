@@ -87,3 +87,6 @@ FAILURE_KEYS = {
     "flaky_tests": "test_code",
     "notifications": "failure_test_id",
 }
+
+# Columns that change records may set.
+CHANGEABLE = {"failures": ("status", "healing"), "healing_actions": ("status",)}

@@ -4,6 +4,8 @@ Layout below one root folder::
 
     <table>/batch=<id>/part-*.parquet
     failures/batch=<id>/day=<date>/part-*.parquet
+    changes/batch=<id>/table_name=<table>/part-*.parquet
+    counts/batch=<id>/part-*.parquet
     manifest/batch=<id>/part-*.parquet     written last
 
 Parquet has no commit over several tables. A batch counts only once its manifest row
@@ -13,14 +15,22 @@ replaces its files (replays change nothing).
 Failures are filed by the day of their creation, so trends read only their days; every
 table is sorted by its failure's key inside its files, so lookups skip most of them.
 
-Changes and compaction write a *snapshot*: all rows of all tables as one batch that opens
-the next epoch. Readers take the batches of the newest epoch; older ones stay until
-someone deletes them.
+Every batch has a version, the next whole number. A *change* (repairs applied, rows deleted) is
+a batch of records (key, version, operation), written beside the rows: its size is that of the
+change. Readers merge the last change of each key into rows of older versions. Every batch also
+writes what it adds to the dashboard's counters, or takes from them, so these are read without
+the tables. A batch or change that is written again keeps its version and changes nothing.
+
+*Compaction* writes a snapshot: all rows as one batch that opens the next epoch, without the
+changes. Readers take the batches of the newest epoch; older ones stay until someone deletes
+them. One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -136,13 +146,15 @@ def persist_fanout(analyzed: DataFrame, root: str, batch: str, cache: bool = Tru
     if cache:
         analyzed = analyzed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        write_batch(table_rows(analyzed), root, batch, current_epoch(analyzed.sparkSession, root))
+        spark = analyzed.sparkSession
+        place = state(spark, root, batch)
+        write_batch(table_rows(analyzed), root, batch, place.own_epoch, place.own_version)
     finally:
         if cache:
             analyzed.unpersist()
 
 
-def write_batch(tables: dict[str, DataFrame], root: str, batch: str, epoch: int) -> None:
+def write_batch(tables: dict[str, DataFrame], root: str, batch: str, epoch: int, version: int) -> None:
     for name, rows in tables.items():
         path, key = f"{root}/{name}/batch={batch}", schemas.FAILURE_KEYS[name]
         if name == "failures":
@@ -152,34 +164,140 @@ def write_batch(tables: dict[str, DataFrame], root: str, batch: str, epoch: int)
         else:
             rows.sortWithinPartitions(key).write.mode("overwrite").parquet(path)
     spark = next(iter(tables.values())).sparkSession
-    done = spark.range(1).select(F.current_timestamp().alias("written_at"), F.lit(epoch).alias("epoch"))
+    written = {name: spark.read.schema(df.schema).parquet(f"{root}/{name}/batch={batch}") for name, df in tables.items()}
+    write_counts(written, root, batch)
+    commit(spark, root, batch, epoch, version, "rows")
+
+
+def commit(spark: SparkSession, root: str, batch: str, epoch: int, version: int, kind: str) -> None:
+    done = spark.range(1).select(
+        F.current_timestamp().alias("written_at"), F.lit(epoch).alias("epoch"),
+        F.lit(version).cast("bigint").alias("version"), F.lit(kind).alias("kind"),
+    )
     done.coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/batch={batch}")
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("written_at timestamp, epoch int, batch string").parquet(f"{root}/manifest")
+    """One row per batch. Stores older than versions have none: their batches come first."""
+    schema = "written_at timestamp, epoch int, version bigint, kind string, batch string"
+    rows = spark.read.schema(schema).parquet(f"{root}/manifest")
+    return rows.withColumns({"version": F.coalesce("version", F.lit(0)), "kind": F.coalesce("kind", F.lit("rows"))})
 
 
-def current_epoch(spark: SparkSession, root: str) -> int:
-    """Number of the newest epoch; 0 for a store that does not exist yet."""
+@dataclass
+class State:
+    """What the manifest says: newest epoch, whether it has changes, and the place of a batch to write."""
+
+    epoch: int = 0
+    changed: bool = False
+    own_epoch: int = 0
+    own_version: int = 1
+    known: bool = False
+
+
+def state(spark: SparkSession, root: str, batch: str | None = None) -> State:
+    """One small aggregation. A batch that is there already keeps its epoch and version."""
     try:
-        return manifest(spark, root).agg(F.max("epoch")).first()[0] or 0
+        rows = manifest(spark, root)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return 0
+            return State()
         raise
+    mine = F.col("batch") == F.lit(batch)
+    last = F.max(F.when(F.col("kind") == "changes", F.col("epoch")))
+    r = rows.agg(F.max("epoch").alias("epoch"), last.alias("last"), F.max("version").alias("version"),
+                 F.max(F.when(mine, F.col("epoch"))).alias("own"), F.max(F.when(mine, F.col("version"))).alias("own_version")).first()
+    epoch, known = r["epoch"] or 0, r["own"] is not None
+    return State(epoch, r["last"] == epoch and r["last"] is not None, r["own"] if known else epoch,
+                 r["own_version"] if known else (r["version"] or 0) + 1, known)
+
+
+def current_epoch(spark: SparkSession, root: str) -> int:
+    """Number of the newest epoch; 0 for a store that does not exist yet."""
+    return state(spark, root).epoch
 
 
 def scan_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """All rows of one table in the newest epoch. The batch list prunes the folders to read."""
+    """All rows of one table in the newest epoch, changes applied. The batch list prunes the folders to read."""
     return _scan(spark, root, name).drop(DAY)
 
 
 def _scan(spark: SparkSession, root: str, name: str) -> DataFrame:
     schema = StructType(list(schemas.TABLES[name].fields)).add("batch", "string")
     rows = spark.read.schema(schema.add(DAY, "date") if name == "failures" else schema).parquet(f"{root}/{name}")
-    done = manifest(spark, root).filter(F.col("epoch") == current_epoch(spark, root))
-    return rows.join(done.select("batch"), "batch", "left_semi").drop("batch")
+    now = state(spark, root)
+    done = manifest(spark, root).filter(F.col("epoch") == now.epoch)
+    columns = [c for c in rows.columns if c != "batch"]
+    if not now.changed:
+        return rows.join(done.select("batch"), "batch", "left_semi").drop("batch")
+    merged = changes(spark, root, name, now.epoch)
+    rows = rows.join(done.select("batch", "version"), "batch").join(merged, rows["id"] == F.col("_id"), "left")
+    for c in schemas.CHANGEABLE.get(name, ()):
+        newer = F.coalesce(F.col(f"_{c}.version") > F.col("version"), F.lit(False))
+        rows = rows.withColumn(c, F.when(newer, F.col(f"_{c}.value")).otherwise(F.col(c)))
+    gone = F.coalesce(F.col("_deleted") > F.col("version"), F.lit(False))
+    return rows.filter(~gone).select(*columns)
+
+
+def changes(spark: SparkSession, root: str, name: str, epoch: int) -> DataFrame:
+    """One row per changed key: the version of its last deletion, and each column's last value with its version.
+
+    A row of a constant size per key, whatever the number of changes; sums up before its shuffle.
+    """
+    schema = "id bigint, operation string, status string, healing string, batch string, table_name string"
+    records = spark.read.schema(schema).parquet(f"{root}/changes").filter(F.col("table_name") == name)
+    done = manifest(spark, root).filter((F.col("epoch") == epoch) & (F.col("kind") == "changes")).select("batch", "version")
+    last = [
+        F.max(F.when(F.col(c).isNotNull(), F.struct("version", F.col(c).alias("value")))).alias(f"_{c}")
+        for c in schemas.CHANGEABLE.get(name, ())
+    ]
+    deleted = F.max(F.when(F.col("operation") == "delete", F.col("version"))).alias("_deleted")
+    return records.join(done, "batch").groupBy(F.col("id").alias("_id")).agg(deleted, *last)
+
+
+def write_changes(records: dict[str, DataFrame], root: str, batch: str, lost: dict[str, DataFrame] | None = None) -> bool:
+    """Write (id, operation, status, healing) records by table as one change; False if it was there.
+
+    ``lost`` holds the rows that the change deletes, which the counters give up.
+    """
+    spark = next(iter(records.values())).sparkSession
+    place = state(spark, root, batch)
+    if place.known:
+        return False
+    every = [df.select("id", "operation", "status", "healing", F.lit(name).alias("table_name")) for name, df in records.items()]
+    folder = f"{root}/changes/batch={batch}"
+    reduce(DataFrame.unionByName, every).write.mode("overwrite").partitionBy("table_name").parquet(folder)
+    write_counts(lost or {}, root, batch, -1, spark)
+    commit(spark, root, batch, place.own_epoch, place.own_version, "changes")
+    return True
+
+
+COUNTS = "table_name string, dimension string, value string, n bigint"
+
+
+def write_counts(tables: dict[str, DataFrame], root: str, batch: str, sign: int = 1, spark: SparkSession | None = None) -> None:
+    """What these rows add to the counters: a few rows per table, and one per day."""
+    parts = []
+    for name, df in tables.items():
+        by = {"all": F.lit("")}
+        if name == "failures":
+            by |= {"root_cause": F.col("root_cause"), DAY: F.date_format("created_at", "yyyy-MM-dd")}
+        if name == "flaky_tests":
+            by["risk_level"] = F.lower("risk_level")
+        each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("value")) for d, v in by.items()])).alias("c")
+        parts.append(df.select(each).groupBy("c.dimension", "c.value").agg((F.count(F.lit(1)) * sign).alias("n"))
+                     .select(F.lit(name).alias("table_name"), "dimension", "value", "n"))
+    spark = spark or next(iter(tables.values())).sparkSession
+    rows = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], COUNTS)
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{root}/counts/batch={batch}")
+
+
+def counters(spark: SparkSession, root: str) -> DataFrame:
+    """(table_name, dimension, value, n) of the newest epoch, zeros left out. Reads no table."""
+    rows = spark.read.schema(f"{COUNTS}, batch string").parquet(f"{root}/counts")
+    done = manifest(spark, root).filter(F.col("epoch") == current_epoch(spark, root)).select("batch")
+    sums = rows.join(done, "batch", "left_semi").groupBy("table_name", "dimension", "value").agg(F.sum("n").alias("n"))
+    return sums.filter("n <> 0")
 
 
 def failures_of_days(spark: SparkSession, root: str, first: str, last: str) -> DataFrame:
@@ -192,15 +310,16 @@ def write_snapshot(tables: dict[str, DataFrame], spark: SparkSession, root: str)
 
     The tables may be read from the store itself, as a snapshot never touches older files.
     """
-    epoch = current_epoch(spark, root) + 1
+    place = state(spark, root)
+    epoch = place.epoch + 1
     whole = {name: tables[name] if name in tables else scan_table(spark, root, name) for name in schemas.TABLES}
     whole = {name: df.select(*schemas.TABLES[name].names) for name, df in whole.items()}
-    write_batch(whole, root, f"snapshot-{epoch:09d}", epoch)
+    write_batch(whole, root, f"snapshot-{epoch:09d}", epoch, place.own_version)
     return epoch
 
 
 def compact(spark: SparkSession, root: str) -> int:
-    """All batches of the newest epoch as one."""
+    """All batches and changes of the newest epoch as one batch."""
     return write_snapshot({}, spark, root)
 
 
