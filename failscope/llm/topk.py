@@ -20,8 +20,10 @@ pairs are written before the next block starts.
 
 Cases: a vector that is null or holds a null or non-finite component takes no part, nor
 does a row without a vec_id. Shorter vectors count as padded with zeros. Rows that repeat a
-vec_id count once, with the smallest of their vectors. A query with fewer than k others gets
-all of them; an empty table gives an empty result. Components are read up to 2^31 / 256.
+vec_id are candidates each, for queries of another vec_id; if a query's id is repeated, its rows
+share one list. A query with fewer than k others gets all of them; an empty table gives an
+empty result. Large components are summed in Python integers; a score beyond a long, or a
+component that alone would lead to one, is an error.
 """
 
 from __future__ import annotations
@@ -42,15 +44,17 @@ ROW_BLOCK = 256
 PAIRS_AT_ONCE = 1 << 16
 LEVELS = (0.125, 0.25, 0.5)
 SLACK = 1e-9
+LARGEST = 2.0**62
+TOO_LARGE = "an inner product does not fit a 64-bit integer"
 
 
 def usable(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, v, norm): integer vectors of the rows that take part."""
     x = F.col(vector)
-    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) >= 2.0**31 / SCALE))
-    v = F.transform(x, lambda c: F.floor(SCALE * c.cast("double")))
+    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
+    whole = lambda c: F.when(F.abs(c) >= LARGEST / SCALE, F.raise_error(F.lit(TOO_LARGE)).cast("bigint")).otherwise(F.floor(SCALE * c))
+    v = F.transform(x, lambda c: whole(c.cast("double")))
     rows = rows.filter(x.isNotNull() & F.col(key).isNotNull()).filter(~bad).select(F.col(key).cast("bigint").alias("id"), v.alias("v"))
-    rows = rows.groupBy("id").agg(F.min("v").alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     return rows.select("id", "v", F.sqrt(square).alias("norm"))
 
@@ -88,10 +92,20 @@ def rotation(rows: DataFrame, d: int) -> np.ndarray:
 
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact row-wise inner products of integer matrices."""
-    if a.size and np.abs(a).max() * np.abs(b).max() * a.shape[1] >= 2.0**52:
-        return np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
-    return np.rint(np.einsum("ij,ij->i", a, b)).astype(np.int64)
+    """Exact row-wise inner products of integer matrices; an error if one does not fit a long."""
+    if not a.size:
+        return np.zeros(len(a), np.int64)
+    most = np.abs(a).max(1) * np.abs(b).max(1) * a.shape[1]
+    if most.max() < 2.0**52:
+        return np.rint(np.einsum("ij,ij->i", a, b)).astype(np.int64)
+    big = np.flatnonzero(most >= 2.0**62)
+    out = np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
+    for i in big:  # few vectors are so long
+        score = sum(int(x) * int(y) for x, y in zip(a[i], b[i], strict=True))
+        if abs(score) >= 2**63 - 1:
+            raise ValueError(TOO_LARGE)
+        out[i] = score
+    return out
 
 
 class Search:
