@@ -61,6 +61,21 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+#: Rows and bytes of an Arrow batch; texts have up to tens of thousands of words.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4_000_000}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch be larger than ``ARROW_BATCH``, in the JVM or in a worker.
+
+    A setting of the session, as plans read it when they run; a smaller one stays.
+    """
+    for key, most in ARROW_BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is None or not 0 < int(now.lower().removesuffix("b")) <= most:
+            spark.conf.set(key, most)
+
+
 def slices(batches, rows: int):
     """Arrow batches in pieces of at most ``rows`` rows, so that a worker unpacks few at a time."""
     for batch in batches:

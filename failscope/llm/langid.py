@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, without
+from .common import bounded_batches, cut, slices, without
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE_DOCS = 2_000
@@ -225,6 +225,7 @@ def training_words(docs: DataFrame, sample_docs: int) -> DataFrame:
 def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> Model:
     """Piece probabilities of every language that ``docs`` name."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     pieces = index_pieces(load_vocabulary(vocabulary))
     words = cut(training_words(docs, sample_docs), "language-words")
     langs = tuple(sorted(r["lang"] for r in words.select("lang").distinct().collect()))
@@ -250,6 +251,7 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE
         counts = np.zeros_like(prob)
         for r in sums.collect():  # at most one row per piece and language
             counts[r["piece"], r["k"]] = round(r["n"], 6)
+        sent.destroy()
         prob = (counts + SMOOTH) / (counts.sum(0) + SMOOTH * len(counts))
     prob[-1] = UNKNOWN
     return Model(pieces, langs, prob)
@@ -272,6 +274,7 @@ def classify(model: Model, texts: pa.Array) -> tuple[list, np.ndarray]:
 
 def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its score; only the text is looked at."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang string, score double")

@@ -26,7 +26,7 @@ Components come from union-find in tasks and star steps between them.
 
 Cases: texts without words are linked with nothing. Rows without a doc_id keep a null
 component and are kept. doc_id should be unique: rows that share one are judged each by its
-text. Empty tables give empty results; extra columns pass through ``clean`` untouched.
+text, and rows that repeat a document wholly are compared once. Empty tables give empty results; extra columns pass through ``clean`` untouched.
 """
 
 from __future__ import annotations
@@ -34,10 +34,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fits, mixer, slices
+from .common import bounded_batches, cut, fits, mixer, slices
 from .components import components, unite
 
 WORDS = 5
@@ -121,11 +121,11 @@ def set_digest(hashes) -> bytes:
 
 
 def signed(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n, digest, bands); digest and bands are null for empty sets."""
+    """(doc_id, key, n, digest, bands); digest and bands are null for empty sets, ``key`` is a hash of the text."""
     import numpy as np
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids, sets):
+        def out(ids, text_keys, sets):
             full = [i for i, s in enumerate(sets) if len(s)]
             keys = [None] * len(sets)
             if full:
@@ -134,49 +134,55 @@ def signed(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> Dat
                 for i, key in zip(full, band_keys(sig, bands, rows), strict=True):
                     keys[i] = key
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                [pa.array(ids, pa.int64()), pa.array(text_keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n", "digest", "bands"],
+                ["doc_id", "key", "n", "digest", "bands"],
             )
 
         for batch in slices(batches, BATCH_ROWS):
-            ids, sets, held = [], [], 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, text_keys, sets, held = [], [], [], 0
+            for i, text, text_key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingles(text, k)
                 ids.append(i)
+                text_keys.append(text_key)
                 sets.append(s)
                 held += len(s)
                 if held >= BATCH_ELEMENTS:
-                    yield out(ids, sets)
-                    ids, sets, held = [], [], 0
-            yield out(ids, sets)
+                    yield out(ids, text_keys, sets)
+                    ids, text_keys, sets, held = [], [], [], 0
+            yield out(ids, text_keys, sets)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        sign, "doc_id long, n long, digest binary, bands array<long>"
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text")).mapInArrow(
+        sign, "doc_id long, key long, n long, digest binary, bands array<long>"
     )
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, set) of the classes in ``wanted`` (node, digest)."""
-    ids = wanted.select(F.col("node").alias("_node"), F.col("digest").alias("_digest"))
+    """(node, set) of the classes in ``wanted`` (node, digest, repeated): one row each."""
+    ids = wanted.select(F.col("node").alias("_node"), F.col("digest").alias("_digest"), F.col("repeated").alias("_repeated"))
     ids = F.broadcast(ids) if fits(ids, BROADCAST_IDS) else ids
     texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text")
-    texts = texts.join(ids, F.col("_id") == F.col("_node")).select("_node", "text", "_digest")
+    texts = texts.join(ids, F.col("_id") == F.col("_node")).select("_node", "text", "_digest", "_repeated")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in slices(batches, BATCH_ROWS):
             rows = []
-            for node, text, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for node, text, digest, repeated in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingles(text, k)
                 if set_digest(s) == digest:
-                    rows.append((node, s.view(np.int64)))
+                    rows.append((node, repeated, s.view(np.int64)))
+            types = (pa.int64(), pa.bool_(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["node", "set"]
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["node", "repeated", "set"]
             )
 
-    return texts.mapInArrow(build, "node long, set array<long>")
+    sets = cut(texts.mapInArrow(build, "node long, repeated boolean, set array<long>"), "sets")
+    # Rows that hold the same document again are few or none; only they meet to be counted once.
+    once = sets.filter("repeated").groupBy("node").agg(F.first("set").alias("set"))
+    return sets.filter("not repeated").select("node", "set").unionAll(once)
 
 
 def alike(n_both, n_a, n_b, percent: int):
@@ -253,13 +259,21 @@ def cross_links(members: DataFrame, sets: DataFrame, percent: int, block: int) -
         pairs.filter("block <> block2").select("unit", F.col("block2").alias("block"), F.lit(1))
     )
     units = full.join(sides, "block").select("unit", "side", "node", "comp", "set")
-    return units.groupBy("unit").applyInArrow(compare_unit(percent), "a long, b long")
+    # Written, so that no stage has Python workers for two steps.
+    return cut(units.groupBy("unit").applyInArrow(compare_unit(percent), "a long, b long"), "cross-links")
 
 
 def near_components(
     docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
+    return near_rows(docs, k, percent, bands, rows, block).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_rows(
+    docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK
+) -> DataFrame:
+    """``near_components`` with ``key``, a hash of the row's text, and ``digest``, of its set."""
     sigs = cut(signed(docs, k, bands, rows), "signatures")
     classes = cut(
         sigs.filter("digest is not null and doc_id is not null")
@@ -271,8 +285,13 @@ def near_components(
     firsts = cut(firsts, "firsts")
     pairs = cut(keys.join(firsts, "key").filter("node <> first").select("node", "first").distinct(), "pairs")
     nodes = pairs.select("node").unionAll(pairs.select("first")).distinct()
-    nodes = cut(nodes.join(classes.select("node", "digest", "n"), "node"), "nodes")
-    sets = cut(full_sets(docs, nodes, k), "sets")
+    again = sigs.groupBy("doc_id", "digest").count().filter("count > 1").select(
+        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.lit(True).alias("_again")
+    )
+    same = (F.col("node") == F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    nodes = nodes.join(classes.select("node", "digest", "n"), "node").join(again, same, "left")
+    nodes = cut(nodes.select("node", "digest", "n", F.coalesce("_again", F.lit(False)).alias("repeated")), "nodes")
+    sets = full_sets(docs, nodes, k)
     a = sets.select("node", F.col("set").alias("set_a"))
     b = sets.select(F.col("node").alias("first"), F.col("set").alias("set_b"))
     n_both = F.size(F.array_intersect("set_a", "set_b"))
@@ -297,12 +316,29 @@ def near_components(
     of_class = classes.select("digest", "node").join(last, F.col("node") == F.col("c_node"), "left").select(
         "digest", F.coalesce("comp", "node").alias("comp")
     )
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of_class, "digest", "left")
+    out = sigs.select("doc_id", "key", F.col("n").alias("n_shingles"), "digest").join(of_class, "digest", "left")
     comp = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    return out.select(
+        "doc_id", "key", "digest", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept")
+    )
 
 
 def clean(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component."""
-    gone = near_components(docs, k, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` whose document is the smallest of its component.
+
+    Rows are judged by doc_id and text: one that shares its doc_id with a copy stays. Of rows
+    with one doc_id and one set of shingles one stays.
+    """
+    rows = cut(near_rows(docs, k, percent).select("doc_id", "key", "digest", "kept"), "judged")
+    gone = rows.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    sets = rows.filter("kept and doc_id is not null and digest is not null").groupBy("doc_id", "digest").agg(
+        F.count("*").alias("n"), F.collect_set("key").alias("keys")
+    )
+    # Texts of one set are few spellings of the same words.
+    again = sets.filter("n > 1").select(F.col("doc_id").alias("_id"), F.explode("keys").alias("_key"), "digest")
+    again = cut(again, "repeated")
+    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    left = docs.join(gone, here, "left_anti")
+    one = Window.partitionBy("_id", "_digest").orderBy("_key")
+    single = left.join(again.withColumnRenamed("digest", "_digest"), here).withColumn("_n", F.row_number().over(one))
+    return left.join(again, here, "left_anti").unionAll(single.filter("_n = 1").select(*docs.columns))

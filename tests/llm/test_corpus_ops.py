@@ -367,12 +367,12 @@ def test_each_shared_chunk_survives_in_its_keeper(spark):
 # --- top-k ------------------------------------------------------------------------------
 
 def brute_top(vectors, every, k):
-    out = []
-    for q, v in vectors.items():
+    """``vectors``: (id, vector) pairs; rows of one query id share a list."""
+    found = defaultdict(list)
+    for q, v in vectors:
         if q % every == 0:
-            scores = sorted((-int(np.dot(v, w)), i) for i, w in vectors.items() if i != q)
-            out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
-    return sorted(out)
+            found[q] += [(-int(np.dot(v, w)), i) for i, w in vectors if i != q]
+    return sorted((q, r, i, -s) for q, scores in found.items() for r, (s, i) in enumerate(sorted(scores)[:k], 1))
 
 
 @pytest.mark.parametrize("block, seeds", [(8192, 1024), (3, 2)])
@@ -382,8 +382,9 @@ def test_top_k(spark, monkeypatch, block, seeds):
     rng = np.random.default_rng(4)
     rows = [(i, (rng.normal(size=12) * rng.choice([0.2, 1, 3])).round(3).tolist()) for i in range(300)]
     rows += [(1000 + i, [0.5] * 12) for i in range(60)] + [(2000, [0.0] * 12)]
-    vectors = {i: np.floor(256 * np.array(v)).astype(np.int64) for i, v in rows}
-    rows += [(400, None), (401, [1.0, None] + [0.0] * 10), (402, [float("nan")] * 12), (403, [float("inf")] * 12), (None, [1.0] * 12), rows[0]]
+    rows.append(rows[0])
+    vectors = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in rows]
+    rows += [(400, None), (401, [1.0, None] + [0.0] * 10), (402, [float("nan")] * 12), (403, [float("inf")] * 12), (None, [1.0] * 12)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int").repartition(4)
     got = sorted(tuple(r) for r in topk.top_k(df, every=20, k=5).collect())
     assert got == brute_top(vectors, 20, 5)
@@ -397,11 +398,33 @@ def test_top_k_reads_on_behind_short_vectors(spark, monkeypatch):
     for i, length in enumerate(10 ** rng.uniform(-1, 3, 4000)):
         v = rng.normal(size=3 if length > 300 else 12)
         rows.append((i, (v * length / np.linalg.norm(v)).round(3).tolist()))
-    vectors = {i: np.floor(256 * np.pad(v, (0, 12 - len(v)))).astype(np.int64) for i, v in rows}
+    vectors = [(i, np.floor(256 * np.pad(v, (0, 12 - len(v)))).astype(np.int64)) for i, v in rows]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(tuple(r) for r in topk.top_k(df, every=50, k=5).collect()) == brute_top(vectors, 50, 5)
 
 
+def test_top_k_of_repeated_ids_and_large_values_like_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from failscope.llm.oracle import OP6
+
+    rows = [(50, [9e6, 0.0]), (1, [9e6, 1.0]), (2, [8e6, 8e6]), (3, [8e6, 8e6]), (4, [-8e6, 3.0]), (100, [8e6, 8e6]),
+            (5, [5.0, 0.0]), (5, [0.5, 0.0]), (5, [5.0, 0.0]), (150, [1.0, 2.0]), (150, [-1.0, 0.25]), (150, [1.0, 2.0])]
+    frame = pd.DataFrame(rows, columns=["vec_id", "embedding"])
+    con = duckdb.connect()
+    con.register("embeddings", frame)
+    want = sorted(con.execute(OP6).fetchall())
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert [r[2] for r in want if r[0] == 50] == [1, 2, 3, 100, 5]
+    from pyspark.errors import PySparkException
+
+    for bad in ([(50, [1e17]), (1, [1e17])], [(50, [1e40]), (1, [1.0])]):
+        with pytest.raises(PySparkException, match="64-bit"):
+            topk.top_k(spark.createDataFrame(bad, "vec_id long, embedding array<double>")).collect()
+
+
 def test_top_k_small(spark):
     frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert topk.top_k(frame([])).count() == 0
@@ -410,6 +433,29 @@ def test_top_k_small(spark):
     assert [tuple(r) for r in topk.top_k(frame([(50, []), (3, [])])).collect()] == [(50, 1, 3, 0)]
 
 
+# --- near duplicates: repeated rows -----------------------------------------------------
+
+def test_near_copies_of_repeated_rows(spark, monkeypatch):
+    """One set per document however often it stands in the table; removal goes by doc_id and text."""
+    rng = random.Random(12)
+    t, u = prose(rng, 60), prose(rng, 60)
+    near = t + " and one more"
+    schema = "doc_id long, text string, extra int"
+    kept = lambda rows: sorted(((r["doc_id"], r["text"]) for r in near_dedup.clean(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert kept([(1, t, 0), (1, t, 1), (2, t, 0)]) == [(1, t)]
+    assert kept([(1, t, 0), (2, u, 0), (2, t, 0)]) == [(1, t), (2, u)]
+    assert kept([(1, t, 0), (2, near, 0), (None, t, 0), (None, t, 0), (3, None, 0), (3, None, 0)]) == kept(
+        [(1, t, 0), (None, t, 0), (None, t, 0), (3, None, 0), (3, None, 0)])
+    assert kept([(1, t, 0), (1, "  " + t, 1)]) in ([(1, t)], [(1, "  " + t)])
+    seen = []
+    plain = near_dedup.cross_links
+    monkeypatch.setattr(near_dedup, "cross_links", lambda m, sets, *rest: seen.append(sets.count()) or plain(m, sets, *rest))
+    rows = [(1, t, i) for i in range(300)] + [(2, near, i) for i in range(300)] + [(3, u, 0)]
+    got = near_dedup.near_components(spark.createDataFrame(rows, schema).repartition(5)).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == {(1, 1): 300, (2, 1): 300, (3, 3): 1}
+    assert seen == [2]
+
+
 # --- line dedup -------------------------------------------------------------------------
 
 def brute_lines(texts):
