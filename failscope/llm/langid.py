@@ -39,6 +39,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE_DOCS = 2_000
 ROUNDS = 3
 UNIT = 24
+WORDS_AT_ONCE = 10_000
 MARK = "▁"
 UNKNOWN = 1e-7
 SMOOTH = 0.05
@@ -222,6 +223,18 @@ def training_words(docs: DataFrame, sample_docs: int) -> DataFrame:
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Small batches put together: words are short, and many at once are cheaper."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> Model:
     """Piece probabilities of every language that ``docs`` name."""
     spark = docs.sparkSession
@@ -236,7 +249,7 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             pieces, langs, prob = sent.value
             counts = np.zeros((pieces.size + 1, len(langs)))
-            for batch in batches:
+            for batch in joined(batches, WORDS_AT_ONCE):
                 for k, lang in enumerate(langs):
                     own = batch.filter(pc.equal(batch.column(0), lang))
                     if own.num_rows:
