@@ -168,3 +168,46 @@ def test_vote_is_the_mean_of_both(spark, blobs):
         assert r["confidence"] == pytest.approx(mean.max(), abs=1e-4)
         assert r["root_cause"] == "abc"[int(mean.argmax())]
         assert [r["all_probabilities"][c] for c in "abc"] == pytest.approx(mean.round(4).tolist(), abs=1e-4)
+
+
+def shares_of_leaf(tree, row):
+    """Class shares of the leaf that a row falls into, by a walk over the tree's nodes."""
+    node = tree._java_obj.rootNode()
+    while node.getClass().getSimpleName() != "LeafNode":
+        split = node.split()
+        node = node.leftChild() if row[split.featureIndex()] <= split.threshold() else node.rightChild()
+    stats = np.array(list(node.impurityStats().stats()))
+    return stats / stats.sum()
+
+
+def test_forest_scores_equal_a_walk_over_its_trees(spark, blobs):
+    rows, labels = blobs
+    df = frame_of(spark, rows, labels).withColumn("root_cause", F.lit("x"))
+    forest = models.train_random_forest(df.select("label", "features"), trees=5, depth=3, balanced=True)
+
+    class Ready:
+        def transform(self, df):
+            return df
+
+    got = sorted(models.score_failures(df, Ready(), forest, classes=["a", "b", "c"]).select(
+        "i", "root_cause", "confidence", "all_probabilities").collect())
+    for row, r in zip(rows, got, strict=True):
+        mean = np.mean([shares_of_leaf(t, row) for t in forest.trees], axis=0)
+        assert [r["all_probabilities"][c] for c in "abc"] == pytest.approx(mean.round(4).tolist(), abs=1e-4)
+        assert r["confidence"] == pytest.approx(mean.max(), abs=1e-4) and r["root_cause"] == "abc"[int(mean.argmax())]
+
+
+def test_measures_are_those_of_counted_predictions(spark, blobs):
+    from failscope.operators.training import report
+
+    rows, labels = blobs
+    df = frame_of(spark, rows, labels).withColumn("root_cause", F.get(F.array(*map(F.lit, "abc")), F.col("label").cast("int")))
+    model = boosting.fit(df.select("label", "features"), 1, 1)
+    guess = [int(r["prediction"]) for r in sorted(model.transform(df).select("i", "prediction").collect())]
+    got = {(r["class"], r["metric"]): r["value"] for r in report(model, df, "m", ["a", "b", "c"]).collect()}
+    assert got[(None, "accuracy")] == pytest.approx(np.mean([g == y for g, y in zip(guess, labels, strict=True)]), abs=1e-4)
+    for k, name in enumerate("abc"):
+        hit = sum(g == y == k for g, y in zip(guess, labels, strict=True))
+        assert got[(name, "support")] == labels.count(k)
+        assert got[(name, "recall")] == pytest.approx(hit / labels.count(k), abs=1e-4)
+        assert got[(name, "precision")] == pytest.approx(hit / guess.count(k) if guess.count(k) else 0, abs=1e-4)
