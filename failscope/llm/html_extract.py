@@ -104,9 +104,10 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th b i em stro
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+# A quote opens a value only behind an equals sign; elsewhere in a tag it is an ordinary character.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)",
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)|([^<]+|<)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)

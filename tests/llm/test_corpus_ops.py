@@ -186,6 +186,9 @@ def langid_remainder(i):
     ("<div class='site-menu'>m</div><div id=userComments><article class='comment'>c</article></div><p>t", "t"),
     ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a b c d"), ("a<b>" * 5000, "a" * 5000), ("<", "<"), ("a < b", "a < b"),
     ("<p>broken <a href='x>link", "broken"),
+    ("<article><h1>T</h1><p class=\"a\"\">Hello there</p><p>more text and \"quoted\" words</article>", 'T Hello there more text and "quoted" words'),
+    ("<p data-x=don't>Hello there</p><p>John's last.", "Hello there John's last."), ("<a href = 'x>y' id=\"q>\">b</a>", "b"),
+    ("<p \">a</p><p '>b", "a b"), ("<p" + " a=\"b\"" * 20000 + ">x", "x"), ("<p " + "\"" * 50000 + ">x", "x"),
 ])
 def test_main_text(page, text):
     assert html_extract.main_text(page or "", frozenset()) == text
