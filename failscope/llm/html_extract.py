@@ -3,7 +3,8 @@
 *Template removal.* Every element's subtree gets a hash of its tag, its text and its
 children. Spark counts, per host, on how many pages each hash occurs; a subtree that occurs
 on many pages of its host is template and is deleted wherever it stands. "Many" counts
-pages with different titles, so copies of one page do not make its article a template:
+pages that differ in title or main headings, so copies of one page do not make its article a
+template; a page without a title stands for itself, as its only heading may be a logo. Many are
 at least ``LEAST_PAGES`` of them and at least ``LEAST_SHARE`` of the host's. Paragraphs,
 headings, list items and the like inside an element marked as the article are text,
 however often they recur; containers in it (boxes, notices) are not safe.
@@ -12,7 +13,14 @@ however often they recur; containers in it (boxes, notices) are not safe.
 sidebars, notices, adverts, forms, scripts, styles, comments, by tag, role, class or id.
 Names of articles' sections are made of the same words ("market-share", "cookies"), so
 inside the article, and for headings, sections and other text anywhere, only names that
-can mean nothing else count, and ids of headings and sections never do.
+that can mean nothing else count, and ids of headings and sections never do.
+
+*Votes.* Any other name that might mark a box (comments, a notice, a promotion) is one vote. A
+second one deletes the box: a class that is just that word; the same box, whatever its text, on
+many pages of its host (these shapes are counted like subtrees); or, for reader comments, a
+thread (siblings of one kind, dates, authors) or a place behind all other text. A box that holds
+the page's main heading stays.
+
 If the page marks its article (``article``, else ``main``) and this holds most of the text
 that is left, only that is read; teaser cards are no reason to leave out the rest.
 
@@ -104,6 +112,14 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th b i em stro
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+#: Boxes that a name can vote against, and the words that do. Headers, banners and widgets often hold the text itself.
+BOXES = frozenset("div section ul ol dl p figure details table".split())
+VOTE_NAMES = DROP_NAMES - frozenset("header masthead banner toolbar overlay search widget widgets navigation".split())
+TALK = frozenset("comment comments reply replies respond".split())
+WRITERS = frozenset("author avatar byline commenter username date timestamp reply permalink".split())
+ENTRIES = frozenset("li div article section".split())
+ENOUGH = 2
+
 # A quote opens a value only behind an equals sign; elsewhere in a tag it is an ordinary character.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -115,12 +131,13 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    """An element: its subtree's hash comes from ``parts``, its text from ``kids``."""
+    """An element: its children, its subtree's hash, and what speaks against it."""
 
-    __slots__ = ("tag", "drop", "kids", "digest")
+    __slots__ = ("tag", "attributes", "drop", "kids", "digest", "votes", "talk", "shape", "top")
 
-    def __init__(self, tag: str, drop: bool):
-        self.tag, self.drop, self.kids, self.digest = tag, drop, [], 0
+    def __init__(self, tag: str, drop: bool, attributes: str = ""):
+        self.tag, self.attributes, self.drop, self.kids, self.digest = tag, attributes, drop, [], 0
+        self.votes, self.talk, self.shape, self.top = 0, False, 0, tag == "h1"
 
 
 def named(value: str, ends: frozenset, whole: frozenset) -> bool:
@@ -166,10 +183,73 @@ def marked(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def hash_of(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\x1f".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) or 1
+
+
+def suspect(node: Node) -> None:
+    """Votes of a box's names, and its shape: the tag and the first such name."""
+    for kind, value in ATTRIBUTE.findall(node.attributes):
+        if kind.lower() not in ("class", "id"):
+            continue
+        for one in value.strip("\"'").split():
+            words = [x.lower() for x in NAME.findall(one)]
+            if not words or words[0] in HOLDS or not (words[0] in VOTE_NAMES or words[-1] in VOTE_NAMES):
+                continue
+            sure = kind.lower() == "class" and len(words) == 1
+            node.votes = max(node.votes, 2 if sure else 1)
+            node.talk |= words[0] in TALK or words[-1] in TALK
+            node.shape = node.shape or hash_of("shape", node.tag, "-".join(words))
+
+
+def thread(box: Node) -> bool:
+    """Whether a box holds what readers' comments do: entries of one kind, dates or authors."""
+    todo = [box]
+    while todo:
+        node, kinds = todo.pop(), set()
+        for kid in node.kids:
+            if type(kid) is not Node:
+                continue
+            classes = " ".join(v for k, v in ATTRIBUTE.findall(kid.attributes) if k.lower() == "class") if kid.attributes else ""
+            if kid.tag == "time" or named(classes.replace('"', " ").replace("'", " "), WRITERS, frozenset()):
+                return True
+            if kid.digest and kid.tag in ENTRIES:
+                kind = (kid.tag, classes)
+                if kind in kinds:
+                    return True
+                kinds.add(kind)
+            todo.append(kid)
+    return False
+
+
+def judge(root: Node) -> None:
+    """Add the votes of structure and place to reader comments; a box with the main heading has none."""
+    todo = [(root, True, False)]
+    while todo:
+        node, last, known = todo.pop()
+        free = last or node.tag in ("article", "main")
+        for kid in reversed(node.kids):
+            if type(kid) is not Node:
+                free = free and not kid.strip()
+                continue
+            if kid.top:
+                kid.votes = 0
+            elif kid.votes and kid.talk and not known:
+                kid.votes += free + thread(kid)
+            todo.append((kid, free, known or kid.talk))
+            free = free and (kid.drop or not kid.digest or kid.votes > 0)
+
+
+def shut(stack: list[Node], at: int, opened: dict[str, int]) -> None:
+    for node in stack[at:]:
+        opened[node.tag] -= 1
+    del stack[at:]
+
+
 def parse(page: str) -> Node:
     """The page as a tree. Text stays as it is written, in pieces among the children."""
     root = Node("#page", False)
-    stack, article, at, first = [root], 0, 0, True
+    stack, opened, at, first = [root], {}, 0, True
     end = len(page)
     while at < end:
         m = TOKEN.match(page, at)
@@ -182,19 +262,21 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[i].tag == tag:
-                    article -= sum(n.tag in ("article", "main") for n in stack[i:])
-                    del stack[i:]
+                    shut(stack, i, opened)
                     break
                 if stack[i].tag in ("body", "html"):
                     break
             continue
         if tag in ENDS_P and stack[-1].tag != "#page":
-            close(stack, ("p",))
+            close(stack, ("p",), opened)
         if tag in CLOSES:
-            close(stack, CLOSES[tag])
-        node = Node(tag, marked(tag, m[3], article > 0))
+            close(stack, CLOSES[tag], opened)
+        in_article = bool(opened.get("article") or opened.get("main"))
+        node = Node(tag, marked(tag, m[3], in_article), m[3])
+        if m[3] and tag in BOXES and not node.drop:
+            suspect(node)
         stack[-1].kids.append(node)
         if first and tag in ("article", "main") and not node.drop:
             # What holds the page's first article is no sidebar or form, whatever it is called.
@@ -207,15 +289,17 @@ def parse(page: str) -> Node:
             at = stop.end() if stop else end
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(node)
-            article += tag in ("article", "main")
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
-def close(stack: list[Node], tags: tuple[str, ...]) -> None:
+def close(stack: list[Node], tags: tuple[str, ...], opened: dict[str, int]) -> None:
     """End the innermost open element of these tags, inside the scope around it."""
+    if not any(opened.get(t) for t in tags):
+        return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in tags:
-            del stack[i:]
+            shut(stack, i, opened)
             return
         if stack[i].tag in SCOPES:
             return
@@ -240,12 +324,14 @@ def hash_all(root: Node) -> list[tuple[Node, bool]]:
         for kid in node.kids:
             if type(kid) is Node:
                 full |= kid.digest != 0
+                node.top |= kid.top
                 parts.append(f"<{kid.digest or kid.tag}>")
             elif s := " ".join(kid.split()):
                 full = True
                 parts.append(s)
         if full:
-            node.digest = int.from_bytes(hashlib.blake2b("\x1f".join(parts).encode(), digest_size=8).digest(), "little", signed=True) or 1
+            node.digest = hash_of(*parts)
+    judge(root)
     return order
 
 
@@ -254,17 +340,21 @@ def safe(node: Node, inside: bool) -> bool:
     return node.tag in KEEP_TAGS or node.tag == "#page" or (inside and node.tag in PROSE)
 
 
-def title_of(root: Node) -> int:
-    """Hash of the page's title, else of its first heading, else of the page."""
-    found = {}
-    for node, _ in walk(root):
-        if node.tag in ("title", "h1"):
-            found[node.tag] = text_of(node, frozenset(), bare=True)
-    key = found.get("h1") or found.get("title") or str(root.digest)
-    return int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "little", signed=True)
+def gone(node: Node, inside: bool, template: frozenset) -> bool:
+    """Whether an element is no main text: marked, voted out or template."""
+    if node.drop or node.votes >= ENOUGH or (node.votes and node.shape in template):
+        return True
+    return node.digest in template and not safe(node, inside)
+
+
+def title_of(order: list[tuple[Node, bool]], root: Node) -> int:
+    """What tells pages of a host apart: title and main headings, or the whole page if it has no title."""
+    title = [str(n.digest) for n, _ in order if n.tag == "title" and n.digest]
+    heads = [str(n.digest) for n, _ in order if n.tag in ("h1", "h2") and n.digest]
+    return hash_of("title", *title, *heads) if title else hash_of("page", str(root.digest))
 
 
-def text_of(root: Node, template: frozenset, bare: bool = False) -> str:
+def text_of(root: Node, template: frozenset) -> str:
     """Text of a subtree without marked elements and template. No recursion: pages nest deeply."""
     out, todo = [], [(root, False)]
     while todo:
@@ -272,7 +362,7 @@ def text_of(root: Node, template: frozenset, bare: bool = False) -> str:
         if type(item) is str:
             out.append(item)
             continue
-        if item is not root and (item.drop or (item.digest in template and not safe(item, inside))) and not bare:
+        if item is not root and gone(item, inside, template):
             out.append(" ")
             continue
         edge = " " if item.tag in BLOCK else ""
@@ -292,7 +382,7 @@ def main_text(page: str, template: frozenset) -> str:
         roots, todo = [], [root]
         while todo:
             node = todo.pop()
-            if node is not root and (node.drop or (node.digest in template and not safe(node, False))):
+            if node is not root and gone(node, False, template):
                 continue
             if node.tag == tag:
                 roots.append(node)
@@ -316,10 +406,11 @@ def subtrees(pages: DataFrame) -> DataFrame:
             hosts, digests, titles = [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 root = parse(page or "")
-                own = {n.digest for n, inside in hash_all(root) if not safe(n, inside)} | {0}
+                order = hash_all(root)
+                own = {n.digest for n, inside in order if not safe(n, inside)} | {n.shape for n, _ in order if n.votes} | {0}
                 digests += own
                 hosts += [host] * len(own)
-                titles += [title_of(root)] * len(own)
+                titles += [title_of(order, root)] * len(own)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hosts, pa.int64()), pa.array(digests, pa.int64()), pa.array(titles, pa.int64())], ["host", "digest", "title"]
             )

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -220,6 +221,67 @@ def test_templates_go_and_copies_stay(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+BODY = "<article><h1>T</h1><p>Body text</p>{}</article>"
+
+
+@pytest.mark.parametrize("box, text", [
+    ("<div class='reader-comments'><div class=c>x</div><div class=c>y</div></div>", ""),
+    ("<section class='comment-thread'><h2>Talk</h2><p><time>today</time> x</p></section>", ""),
+    ("<section id='comments'><p>x</p></section>", ""),
+    ("<section id='comments'><ol><li class=c>x</li><li class=c>y</li></ol></section><p>tail</p>", " tail"),
+    ("<div class=notice>x</div><p>tail</p>", " tail"), ("<div class=promo>x</div>", ""), ("<div class='sponsored'>x</div>", ""),
+    ("<section id=market-share><p>x</p><p>y</p></section>", " x y"), ("<section id='comments'><p>x</p></section><p>tail</p>", " x tail"),
+    ("<div class='header'><h1>x</h1></div>", " x"), ("<div class=promo><h1>x</h1></div>", " x"),
+    ("<p><span class=comment># code</span></p>", " # code"), ("<div id=social-impact><div class=q>x</div><div class=q>y</div></div>", " x y"),
+    ("<div class=comment-policy>x</div><p>tail</p>", " x tail"),
+])
+def test_boxes_go_by_two_votes(box, text):
+    assert html_extract.main_text(BODY.format(box), frozenset()) == "T Body text" + text
+
+
+def plain_templates(pages):
+    """Plain count of subtrees and shapes over pages that differ, host by host."""
+    seen, titles = defaultdict(set), defaultdict(set)
+    for _, url, page in pages:
+        root = html_extract.parse(page)
+        order = html_extract.hash_all(root)
+        host, title = url.split("/")[2], html_extract.title_of(order, root)
+        titles[host].add(title)
+        for node, inside in order:
+            if not html_extract.safe(node, inside):
+                seen[host, node.digest].add(title)
+            if node.votes:
+                seen[host, node.shape].add(title)
+    out = defaultdict(set)
+    for (host, digest), where in seen.items():
+        if digest and len(where) >= max(html_extract.LEAST_PAGES, html_extract.LEAST_SHARE * len(titles[host])):
+            out[host].add(digest)
+    return out
+
+
+def test_templates_match_a_plain_count(spark):
+    logo = "<div><h1>My Site</h1></div><div><span>Read our other pages {1}</span></div><div class=body><p>Story {0}.</p></div>"
+    titled = "<title>Page {0}</title>" + logo
+    boxed = "<title>P {0}</title><article><h1>P {0}</h1><p>Text {0}.</p><section class='legal-notice'><p>Note {0}</p></section><p>End.</p></article>"
+    rows = [(i, f"http://logo.example/{i}", logo.format(i, "now")) for i in range(20)]
+    rows += [(100 + i, f"http://titled.example/{i}", titled.format(i, "now")) for i in range(20)]
+    rows += [(200 + i, f"http://boxed.example/{i}", boxed.format(i)) for i in range(8)]
+    rows += [(300, "http://single.example/", boxed.format(1)), (301, "http://single.example/", boxed.format(2))]
+    rows += [(400 + i, "http://copies.example/", titled.format("same", "now")) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    known = plain_templates(rows)
+    assert got == {i: html_extract.main_text(page, frozenset(known[url.split("/")[2]])) for i, url, page in rows}
+    assert got[3] == "Story 3." and got[103] == "Story 3." and got[203] == "P 3 Text 3. End."
+    assert got[300] == "P 1 Text 1. Note 1 End." and got[400] == "My Site Read our other pages now Story same."
+
+
+def test_unclosed_tags_take_linear_time():
+    for page in ("<b>" * 20_000 + "</i>" * 20_000, "<b>" * 20_000 + "<p>" * 20_000, "<div class=comment>" * 20_000 + "x"):
+        start = time.time()
+        html_extract.main_text(page, frozenset())
+        assert time.time() - start < 5
+
+
 # --- mixing -----------------------------------------------------------------------------
 
 def test_raking_meets_all_margins(spark):
