@@ -162,6 +162,26 @@ def _lose(gone: dict[str, DataFrame], root: str, batch: str) -> bool:
     return store.write_changes({n: df.select("id", *_record("delete")) for n, df in gone.items()}, root, batch, gone)
 
 
+def store_lookup(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
+    """``lookup_failures`` in a store; batches that cannot hold a key are not read."""
+    return store.scan_keys(spark, root, "failures", keys)
+
+
+def store_missing(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
+    """``missing_keys`` in a store."""
+    return missing_keys(keys, store.scan_keys(spark, root, "failures", keys))
+
+
+def store_new_rows(spark: SparkSession, root: str, incoming: DataFrame, table: str = "failures") -> DataFrame:
+    """``append_rows`` against a store: only batches that may hold an incoming key are read."""
+    key = schemas.UNIQUE_KEYS.get(table)
+    if key == schemas.FAILURE_KEYS[table]:
+        existing = store.scan_keys(spark, root, table, incoming, key)
+    else:
+        existing = store.scan_table(spark, root, table)
+    return append_rows(existing, incoming, table)
+
+
 def delete_cascade(tables: dict[str, DataFrame], keys: DataFrame) -> dict[str, DataFrame]:
     """Remove failures and everything tied to them; one anti join per table.
 

@@ -491,6 +491,7 @@ def oracles(stop_words: list[str]) -> dict[str, str]:
     )
 
     o["lookup_failure"] = sql("SELECT id, test_id, root_cause, status FROM failures WHERE test_id IN (SELECT test_id FROM key_list)")
+    o["lookup_stored"] = o["lookup_failure"]
     o["incident_view"] = sql(
         "SELECT f.test_id, f.root_cause, f.confidence, h.repair_type, h.new_value, k.risk_level, n.message FROM failures f "
         "LEFT JOIN healing_actions h ON h.failure_test_id = f.test_id LEFT JOIN flaky_tests k ON k.test_code = f.test_id "
@@ -556,6 +557,10 @@ def oracles(stop_words: list[str]) -> dict[str, str]:
     o["recent_failures"] = sql(
         "SELECT id, test_id, test_name, pipeline, status, root_cause, healing FROM failures ORDER BY id DESC LIMIT 5"
     )
+    o["page_stored"] = sql(
+        f"SELECT * FROM ({page("'failures' AS table_name, id", 'failures', 'created_at DESC, id DESC', 70)}) UNION ALL "
+        f"SELECT * FROM ({page("'notifications' AS table_name, id", 'notifications', 'id DESC', 20)})"
+    )
     o["page_failures"] = sql(page("id, test_id, root_cause", "failures", "created_at DESC, id DESC", 3))
     o["page_healing"] = sql(page("id, healing_id, status", "healing_actions", "id DESC", 2))
     o["page_flaky"] = sql(page("id, test_code, risk_level", "flaky_tests", "id DESC", 2))

@@ -522,6 +522,21 @@ def lookup_failure(spark, d):
     )
 
 
+def _saved_halves(spark, d) -> str:
+    """A store of two batches: failures up to the middle of the month, and later ones."""
+    root, late = store.scratch_dir(spark, "store"), F.col("created_at") >= F.lit("2024-01-16").cast("timestamp")
+    rows = analyzed(spark, d)
+    store.persist_fanout(rows.filter(late), root, "late")
+    store.persist_fanout(rows.filter(~late), root, "early")
+    return root
+
+
+@query
+def lookup_stored(spark, d):
+    """The lookup in a store, which reads only the batches whose key filter holds a key."""
+    return tables.store_lookup(spark, _saved_halves(spark, d), key_list(spark, d)).select("id", "test_id", "root_cause", "status")
+
+
 @query
 def incident_view(spark, d):
     t = stored(spark, d)
@@ -687,6 +702,17 @@ def page_failures(spark, d):
     return rows.select("id", "test_id", "root_cause", "total", "page", "page_size")
 
 
+@query
+def page_stored(spark, d):
+    """Deep pages of a store: its counters name the hours and id ranges to read."""
+    root = _saved_halves(spark, d)
+    pages = [
+        store.page(spark, root, name, number).select(F.lit(name).alias("table_name"), "id", "total", "page", "page_size")
+        for name, number in (("failures", 70), ("notifications", 20))
+    ]
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query
 def page_healing(spark, d):
     rows = reports.page(stored(spark, d)["healing_actions"], [F.desc("id")], 2)

@@ -6,6 +6,7 @@ Layout below one root folder::
     failures/batch=<id>/day=<date>/part-*.parquet
     changes/batch=<id>/table_name=<table>/part-*.parquet
     counts/batch=<id>/part-*.parquet
+    keys/batch=<id>/part-*.parquet
     manifest/batch=<id>/part-*.parquet     written last
 
 Parquet has no commit over several tables. A batch counts only once its manifest row
@@ -19,7 +20,8 @@ Every batch has a version, the next whole number. A *change* (repairs applied, r
 a batch of records (key, version, operation), written beside the rows: its size is that of the
 change. Readers merge the last change of each key into rows of older versions. Every batch also
 writes what it adds to the dashboard's counters, or takes from them, so these are read without
-the tables. A batch or change that is written again keeps its version and changes nothing.
+the tables. Key filters and counts per range (see ``index``) spare lookups and deep pages most
+of the rows. A batch or change that is written again keeps its version and changes nothing.
 
 *Compaction* writes a snapshot: all rows as one batch that opens the next epoch, without the
 changes. Readers take the batches of the newest epoch; older ones stay until someone deletes
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.columns import first_filled, make_id, percent_text
-from . import schemas
+from . import index, schemas
 
 DAY = "day"
 
@@ -166,6 +168,8 @@ def write_batch(tables: dict[str, DataFrame], root: str, batch: str, epoch: int,
     spark = next(iter(tables.values())).sparkSession
     written = {name: spark.read.schema(df.schema).parquet(f"{root}/{name}/batch={batch}") for name, df in tables.items()}
     write_counts(written, root, batch)
+    own = spark.read.schema(COUNTS).parquet(f"{root}/counts/batch={batch}").filter(F.col("dimension") == "all")
+    index.write_filters(written, {r["table_name"]: r["n"] for r in own.collect()}, root, batch)
     commit(spark, root, batch, epoch, version, "rows")
 
 
@@ -222,9 +226,44 @@ def scan_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return _scan(spark, root, name).drop(DAY)
 
 
-def _scan(spark: SparkSession, root: str, name: str) -> DataFrame:
+def scan_keys(spark: SparkSession, root: str, name: str, keys: DataFrame, key: str = "test_id") -> DataFrame:
+    """Rows of one table that belong to some keys; batches whose filter holds none of them are not read."""
+    own = schemas.FAILURE_KEYS[name]
+    asked = keys.select(F.col(key).alias(own)).distinct()
+    done = manifest(spark, root).filter((F.col("epoch") == current_epoch(spark, root)) & (F.col("kind") == "rows"))
+    names = index.batches_with(spark, root, name, asked, done)
+    return _scan(spark, root, name, names).drop(DAY).join(asked, own, "left_semi").select(*schemas.TABLES[name].names)
+
+
+def page(spark: SparkSession, root: str, name: str, number: int = 1, size: int = 10) -> DataFrame:
+    """A page of one table, newest rows first, with the page number, page size and the total in every row.
+
+    Only the ranges that the counters place the page in are read and sorted, however deep it lies.
+    """
+    counts, start = counters(spark, root), (number - 1) * size
+    known = {r["dimension"]: r["n"] for r in counts.filter((F.col("table_name") == name) & F.col("dimension").isin("all", index.RANGE))
+             .groupBy("dimension").agg(F.sum("n").alias("n")).collect()}
+    total = known.get("all", 0)
+    whole = known.get(index.RANGE, 0) != total
+    place = None if whole else index.find_rows(counts, name, start, start + size)
+    rows = _scan(spark, root, name)
+    if place:
+        rows = rows.filter(index.within(name, place))
+        if name == "failures":
+            rows = rows.filter(index.days_within(place, DAY))
+    elif not whole:
+        rows = rows.filter(F.lit(False))
+    order = [F.desc("created_at")] if name == "failures" else []
+    rows = rows.drop(DAY).orderBy(*order, F.desc("id")).offset(start - place.before if place else start).limit(size)
+    return rows.withColumns({"total": F.lit(total).cast("bigint"), "page": F.lit(number), "page_size": F.lit(size)})
+
+
+def _scan(spark: SparkSession, root: str, name: str, batches: list[str] | None = None) -> DataFrame:
+    """Rows with their day, of the named batches or all."""
     schema = StructType(list(schemas.TABLES[name].fields)).add("batch", "string")
     rows = spark.read.schema(schema.add(DAY, "date") if name == "failures" else schema).parquet(f"{root}/{name}")
+    if batches is not None:
+        rows = rows.filter(F.col("batch").isin(batches))
     now = state(spark, root)
     done = manifest(spark, root).filter(F.col("epoch") == now.epoch)
     columns = [c for c in rows.columns if c != "batch"]
@@ -276,7 +315,7 @@ COUNTS = "table_name string, dimension string, value string, n bigint"
 
 
 def write_counts(tables: dict[str, DataFrame], root: str, batch: str, sign: int = 1, spark: SparkSession | None = None) -> None:
-    """What these rows add to the counters: a few rows per table, and one per day."""
+    """What these rows add to the counters: a few rows per table, and one per day and range."""
     parts = []
     for name, df in tables.items():
         by = {"all": F.lit("")}
@@ -284,6 +323,7 @@ def write_counts(tables: dict[str, DataFrame], root: str, batch: str, sign: int
             by |= {"root_cause": F.col("root_cause"), DAY: F.date_format("created_at", "yyyy-MM-dd")}
         if name == "flaky_tests":
             by["risk_level"] = F.lower("risk_level")
+        by[index.RANGE] = index.range_of(name)
         each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("value")) for d, v in by.items()])).alias("c")
         parts.append(df.select(each).groupBy("c.dimension", "c.value").agg((F.count(F.lit(1)) * sign).alias("n"))
                      .select(F.lit(name).alias("table_name"), "dimension", "value", "n"))
