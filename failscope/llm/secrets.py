@@ -54,6 +54,8 @@ RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
+#: Matches whose positions are summed at once.
+BLOCK = 64
 BASE = ("assign", "access", "hex")
 LEDGER = "blob binary, rules array<string>, found array<struct<start:int,ord:int,stop:int,kind:string>>"
 
@@ -62,8 +64,17 @@ def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, not for each element of a loop in it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
-    """All matches of a rule as an array of (start, ord, stop, kind)."""
+    """All matches of a rule as an array of (start, ord, stop, kind).
+
+    Positions are running lengths. They are summed block by block, as appending to one long
+    array copies it for each match.
+    """
     kind = F.lit(rule.kind).alias("kind")
     gaps = F.split(text, rule.pattern, -1)
     full = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -74,7 +85,6 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
         F.transform(part, F.length).alias("val"),
     )
     none = F.array().cast("array<struct<start:int,ord:int,stop:int,kind:string>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
@@ -83,8 +93,24 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
         out = F.when(x["val"] >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"])
         return F.struct(stop.alias("at"), out.alias("out"))
 
-    spans = F.aggregate(steps, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(rule.pattern), spans).otherwise(none)
+    def block(steps, first):
+        return F.slice(steps, first, F.lit(BLOCK))
+
+    def blocks(steps):
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1)), F.lit(BLOCK))
+        sums = F.transform(firsts, lambda b: F.aggregate(block(steps, b), F.lit(0), lambda n, x: n + x["gap"] + x["len"]))
+        before = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+
+        def of_block(at):
+            def spans(first, i):
+                zero = F.struct(F.get(at, i).alias("at"), none.alias("out"))
+                return F.aggregate(block(steps, first), zero, step, lambda acc: acc["out"])
+
+            return F.flatten(F.transform(firsts, spans))
+
+        return let(before, of_block)
+
+    return F.when(text.rlike(rule.pattern), let(steps, blocks)).otherwise(none)
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from failscope.llm import (
     components, decontaminate, html_extract, langid, line_dedup, mixing, near_dedup, secrets, sharding, substring_dedup, topk,
@@ -221,6 +222,17 @@ def test_templates_go_and_copies_stay(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("matches", [0, 1, 63, 64, 65, 100_000])
+def test_many_secrets_in_one_text(spark, matches):
+    text = "".join(f"É token={'x' * (i % 9)} " for i in range(matches)) + " end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+    start = time.time()
+    rows = secrets.scan_all(docs).select(F.explode("found").alias("f")).select("f.start", "f.stop").collect()
+    assert time.time() - start < 60
+    want = [m.span() for m in re.finditer(r"token=(x+)", text) if len(m[1]) >= 6]
+    assert sorted(map(tuple, rows)) == want
+
+
 BODY = "<article><h1>T</h1><p>Body text</p>{}</article>"
 
 
