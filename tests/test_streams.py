@@ -33,11 +33,49 @@ def test_recent_pattern_over_several_batches(spark, source, tmp_path):
     rows, path = source
     out = str(tmp_path / "out")
     stream = jobs.failure_stream(spark, path, rows.schema, files_per_batch=1)
-    jobs.stream_recent_pattern(stream, out, str(tmp_path / "mark"), salts=3).awaitTermination()
+    jobs.stream_recent_pattern(stream, out, str(tmp_path / "mark")).awaitTermination()
     got = {tuple(r) for r in jobs.read_recent_pattern(spark, out).collect()}
     assert got == {tuple(r) for r in flaky.recent_pattern(rows).select("test_name", "recent_pattern").collect()}
 
 
+def pattern_rows(spark, path, rows):
+    """JSON files of (test_name, minute, id, outcome), one more file per call."""
+    made = spark.createDataFrame(rows, "test_name string, minute long, id long, outcome string")
+    made = made.withColumn("created_at", F.timestamp_seconds(1_700_000_000 + F.col("minute") * 60)).drop("minute")
+    made.coalesce(1).write.mode("append").json(path)
+    return made.schema
+
+
+def test_recent_pattern_restarts_from_its_checkpoint(spark, tmp_path):
+    path, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    hot = [("hot", m, m, "pass" if m % 3 else "fail") for m in range(2000)] + [(None, 5, 1, "pass"), ("odd", 7, None, "fail")]
+    schema = pattern_rows(spark, path, hot)
+    for more in ([], [("hot", 3000, 9, "fail"), ("hot", 1, 10, "late"), ("hot", 1999, 1999, "pass"), ("new", 3000, 9, "pass")]):
+        if more:
+            pattern_rows(spark, path, more)
+        jobs.stream_recent_pattern(jobs.failure_stream(spark, path, schema), out, mark).awaitTermination()
+    got = dict(tuple(r) for r in jobs.read_recent_pattern(spark, out).collect())
+    last = ", ".join("pass" if m % 3 else "fail" for m in range(1996, 2000)) + ", fail"
+    assert got == {"hot": last, None: "pass", "new": "pass"}
+    jobs.compact_recent_pattern(spark, out, str(tmp_path / "small"))
+    assert dict(tuple(r) for r in jobs.read_recent_pattern(spark, str(tmp_path / "small")).collect()) == got
+
+
+def test_recent_pattern_forgets_idle_tests(spark, tmp_path):
+    path, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    hour = 60
+    # "a" runs once, "b" again and again; the third start finds the state of "a" gone, that of "b" not.
+    for at, rows in enumerate([
+        [("a", 0, 1, "old"), ("b", 0, 2, "b0")], [("b", 5 * hour, 3, "b1")], [("b", 9 * hour, 4, "b2")],
+        [("a", 10 * hour, 5, "new"), ("b", 10 * hour, 6, "b3")],
+    ]):
+        schema = pattern_rows(spark, path, rows)
+        stream = jobs.failure_stream(spark, path, schema, files_per_batch=1)
+        jobs.stream_recent_pattern(stream, out, mark, idle_ms=6 * 3600 * 1000, delay="1 hour").awaitTermination()
+    got = dict(tuple(r) for r in jobs.read_recent_pattern(spark, out).collect())
+    assert got == {"a": "new", "b": "b0, b1, b2, b3"}
+
+
 def test_dedupe(spark, source, tmp_path):
     rows, path = source
     rows.write.mode("append").json(path)
