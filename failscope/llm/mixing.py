@@ -10,11 +10,13 @@ Raking counts a full cell with its cap and goes on raising the others, so the sa
 meets the targets. A value whose whole tokens are less than its target takes them all, and
 the rest of its target goes to the margin's other values in proportion. ``shares`` reports
 target and share of each value. ``clip`` cuts probabilities off after a raking without caps
-instead, as the SQL twin of op4 does; the sample then misses the targets.
+instead; the sample then misses the targets.
 
-Only cells are raked, and they are summed up before their first shuffle. One half-step is a
-sum per margin value, as a window, so a round is a linear plan; rounds are written to the
-shared folder every few rounds, and end when no margin is off by more than ``TOLERANCE``.
+Only cells are raked, and they are summed up before their first shuffle; their number is that
+of the (source, language, topic) that occur and does not grow with the documents. One half-step
+is a window per margin value over the cells, which finds the factor that meets the target with
+caps, so a round is a linear plan; rounds are written to the shared folder every few rounds, and
+end when no margin is off by more than ``CAPPED_TOLERANCE``, or after ``CAPPED_ROUNDS``.
 Draws are MD5 hashes of the doc_id, so reruns and lost tasks agree.
 
 *Targets* default to a flattened mix: each margin value's token share to the power
@@ -35,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fits, without
+from .common import cut, without
 
 MARGINS = ("source", "lang", "topic")
 FLATTEN = 0.7
@@ -43,10 +45,9 @@ BUDGET = 0.6
 ROUNDS = 24
 EVERY = 6
 TOLERANCE = 1e-12
-CAPPED_ROUNDS = 60
-CAPPED_TOLERANCE = 1e-7
+CAPPED_ROUNDS = 36
+CAPPED_TOLERANCE = 1e-12
 MOST = 1e200
-DRIVER_CELLS = 50_000
 DRAW_DIGITS = 13
 OWN = ("mix_source", "mix_lang", "mix_topic", "n_tokens")
 
@@ -134,39 +135,30 @@ def rake_capped(cells: DataFrame, targets: dict[str, DataFrame], budget: float,
     for m in MARGINS:
         cells = cells.join(own[m].select(F.col("value").alias(m), F.col("share").alias(f"to_{m}"), F.col("wanted").alias(f"want_{m}")), m)
     cells = cut(cells.withColumn("raw", F.col("cap") * budget).withColumn("weight", F.least("raw", "cap")), "cells")
-    if fits(cells, DRIVER_CELLS):
-        return raked_here(cells, rounds)
     for at in range(0, rounds, EVERY):
         for _ in range(min(EVERY, rounds - at)):
             for m in MARGINS:
-                held = F.sum(F.least("raw", "cap")).over(Window.partitionBy(m))
-                step = F.least(F.col("raw") * F.col(f"to_{m}") / held, F.lit(MOST))
-                cells = cells.withColumn("raw", F.when(held > 0, step).otherwise(0.0))
+                cells = capped_step(cells, m)
         cells = cut(cells.withColumn("weight", F.least("raw", "cap")), "raked")
         if (worst_margin(cells) or 0.0) <= CAPPED_TOLERANCE:
             break
     return cells
 
 
-def raked_here(cells: DataFrame, rounds: int) -> DataFrame:
-    """The rounds of ``rake_capped`` over few cells, on the driver."""
-    import numpy as np
-
-    rows = cells.orderBy(*MARGINS).collect()
-    if not rows:
-        return cells
-    raw, cap = (np.array([r[c] for r in rows], float) for c in ("raw", "cap"))
-    to = {m: np.array([r[f"to_{m}"] for r in rows]) for m in MARGINS}
-    at = {m: np.unique([r[m] for r in rows], return_inverse=True)[1] for m in MARGINS}
-    held = lambda m: np.bincount(at[m], np.minimum(raw, cap))[at[m]]
-    for _ in range(rounds):
-        for m in MARGINS:
-            h = held(m)
-            raw = np.where(h > 0, np.minimum(raw * to[m] / np.where(h > 0, h, 1.0), MOST), 0.0)
-        if max(np.abs(h - to[m])[h > 0].max(initial=0) for m in MARGINS for h in [held(m)]) <= CAPPED_TOLERANCE:
-            break
-    new = [{**r.asDict(), "raw": float(x), "weight": float(min(x, c))} for r, x, c in zip(rows, raw, cap, strict=True)]
-    return cells.sparkSession.createDataFrame([tuple(r[c] for c in cells.columns) for r in new], cells.schema)
+def capped_step(cells: DataFrame, m: str) -> DataFrame:
+    """``raw`` times the factor with which the capped weights of each value of a margin meet its target.
+
+    If the cells are ordered by how soon they are full, a factor that fills those before a
+    cell leaves the target less their caps to the others; the largest such factor is right.
+    """
+    need = F.when(F.col("raw") > 0, F.col("cap") / F.col("raw")).otherwise(F.lit(float("inf")))
+    order = Window.partitionBy(m).orderBy(need, *MARGINS)
+    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("raw").over(order.rowsBetween(0, Window.unboundedFollowing))
+    cells = cells.withColumns({"_before": before, "_rest": rest})
+    factor = F.max(F.when(F.col("_rest") > 0, (F.col(f"to_{m}") - F.col("_before")) / F.col("_rest"))).over(Window.partitionBy(m))
+    raised = F.least(F.col("raw") * F.coalesce(factor, F.lit(0.0)), F.lit(MOST))
+    return cells.withColumn("raw", raised).drop("_before", "_rest")
 
 
 def half_step(margin: str) -> Column:

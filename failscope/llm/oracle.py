@@ -128,30 +128,46 @@ def share(symbols: str) -> str:
     return f"(length(t) - length(translate(t, '{symbols}', ''))) / greatest(length(t), 1)"
 
 
+def fill(cap: str, want: str, total: str, by: str, then: str, table: str) -> str:
+    """``table`` with ``factor``, for which the sum of least(cap, factor * want) per ``by`` is ``total``."""
+    part = f"PARTITION BY {by}" if by else ""
+    order = f"{part} ORDER BY CASE WHEN {want} > 0 THEN {cap} / {want} ELSE CAST('inf' AS DOUBLE) END, {then}"
+    return f"""
+SELECT * EXCLUDE (before, rest), coalesce(max(CASE WHEN rest > 0 THEN ({total} - before) / rest END) OVER ({part}), 0) AS factor FROM (
+  SELECT *, coalesce(sum({cap}) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum({want}) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {table})"""
+
+
+def within_caps(margin: str) -> str:
+    held = f"""(SELECT value, cap, coalesce(wanted, 0) AS wanted
+  FROM (SELECT {margin} AS value, sum(cap) AS cap FROM c0 GROUP BY 1) LEFT JOIN to_{margin} USING (value))"""
+    return f"own_{margin} AS (SELECT value, least(cap, factor * wanted) AS goal FROM ({fill('cap', 'wanted', '1.0', '', 'value', held)}))"
+
+
+def of_step(source: str, lang: str, topic: str) -> str:
+    return f"CASE k % 3 WHEN 0 THEN {source} WHEN 1 THEN {lang} ELSE {topic} END"
+
+
 def raking(rounds: int) -> str:
-    """Unrolled rounds: one step per margin, each a window over the cells."""
-    steps, last = [], "w0"
-    for i in range(rounds):
-        for m in ("source", "lang", "topic"):
-            name = f"r{i}_{m}"
-            steps.append(
-                f"{name} AS MATERIALIZED (SELECT * EXCLUDE (h) REPLACE (CASE WHEN h > 0 THEN weight * to_{m} / h ELSE 0 END AS weight) "
-                f"FROM (SELECT *, sum(weight) OVER (PARTITION BY {m}) AS h FROM {last}))"
-            )
-            last = name
-    return ", ".join(steps) + f", raked AS (SELECT * FROM {last})"
+    """Steps of a recursion: one per margin, each a window over the cells."""
+    now = f"(SELECT *, {of_step('source', 'lang', 'topic')} AS v, {of_step('g_source', 'g_lang', 'g_topic')} AS goal FROM steps WHERE k < {3 * rounds})"
+    step = fill("cap", "raw", "goal", "v", "source, lang, topic", now)
+    return f"""steps AS (
+  SELECT 0 AS k, * FROM w0 UNION ALL
+  SELECT k + 1, source, lang, topic, tokens, cap, least(raw * factor, 1e200), g_source, g_lang, g_topic FROM ({step})
+), raked AS (SELECT * FROM steps WHERE k = {3 * rounds})"""
 
 
 def target(margin: str) -> str:
     return f"""to_{margin} AS (
-  SELECT value, p / sum(p) OVER () AS to_{margin} FROM (
+  SELECT value, p / sum(p) OVER () AS wanted FROM (
     SELECT {margin} AS value, pow(CAST(sum(tokens) AS DOUBLE), 0.7) AS p FROM cells GROUP BY 1 HAVING sum(tokens) > 0
   )
 )"""
 
 
 OP4 = f"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang, coalesce(text, '') AS t,
     CASE WHEN {share('|')} >= 0.02 THEN 'table' WHEN {share('%$#*&<>{}[]=')} >= 0.05 THEN 'markup'
       WHEN {share(UP)} >= 0.3 THEN 'loud' WHEN length(t) >= 1000 THEN 'prose' ELSE 'short' END AS topic,
@@ -160,16 +176,14 @@ WITH d AS (
 ),
 cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY ALL),
 {target('source')}, {target('lang')}, {target('topic')},
+c0 AS (SELECT *, CAST(tokens AS DOUBLE) / greatest(0.6 * (SELECT sum(tokens) FROM cells), 1e-300) AS cap FROM cells),
+{within_caps('source')}, {within_caps('lang')}, {within_caps('topic')},
 w0 AS (
-  SELECT source, lang, topic, tokens, coalesce(to_source, 0) AS to_source, coalesce(to_lang, 0) AS to_lang,
-    coalesce(to_topic, 0) AS to_topic, CAST(tokens AS DOUBLE) AS weight
-  FROM cells LEFT JOIN to_source a ON source = a.value LEFT JOIN to_lang b ON lang = b.value LEFT JOIN to_topic c ON topic = c.value
+  SELECT source, lang, topic, tokens, cap, cap * 0.6 AS raw, a.goal AS g_source, b.goal AS g_lang, c.goal AS g_topic
+  FROM c0 JOIN own_source a ON source = a.value JOIN own_lang b ON lang = b.value JOIN own_topic c ON topic = c.value
 ),
-{raking(24)},
-p AS (
-  SELECT source, lang, topic, round(CASE WHEN tokens > 0
-    THEN least(1.0, 0.6 * (SELECT sum(tokens) FROM cells) * weight / tokens) ELSE 0 END, 6) AS p FROM raked
-)
+{raking(36)},
+p AS (SELECT source, lang, topic, round(CASE WHEN tokens > 0 THEN least(raw, cap) / cap ELSE 0 END, 6) AS p FROM raked)
 SELECT doc_id, source, lang, topic, n_tokens, p AS probability,
   CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 < p AS kept
 FROM d JOIN p USING (source, lang, topic)
