@@ -46,7 +46,8 @@ ROUNDS = 24
 EVERY = 6
 TOLERANCE = 1e-12
 CAPPED_ROUNDS = 36
-CAPPED_TOLERANCE = 1e-12
+CAPPED_EVERY = 3
+CAPPED_TOLERANCE = 1e-7
 MOST = 1e200
 DRAW_DIGITS = 13
 OWN = ("mix_source", "mix_lang", "mix_topic", "n_tokens")
@@ -135,8 +136,8 @@ def rake_capped(cells: DataFrame, targets: dict[str, DataFrame], budget: float,
     for m in MARGINS:
         cells = cells.join(own[m].select(F.col("value").alias(m), F.col("share").alias(f"to_{m}"), F.col("wanted").alias(f"want_{m}")), m)
     cells = cut(cells.withColumn("raw", F.col("cap") * budget).withColumn("weight", F.least("raw", "cap")), "cells")
-    for at in range(0, rounds, EVERY):
-        for _ in range(min(EVERY, rounds - at)):
+    for at in range(0, rounds, CAPPED_EVERY):
+        for _ in range(min(CAPPED_EVERY, rounds - at)):
             for m in MARGINS:
                 cells = capped_step(cells, m)
         cells = cut(cells.withColumn("weight", F.least("raw", "cap")), "raked")
@@ -152,9 +153,11 @@ def capped_step(cells: DataFrame, m: str) -> DataFrame:
     cell leaves the target less their caps to the others; the largest such factor is right.
     """
     need = F.when(F.col("raw") > 0, F.col("cap") / F.col("raw")).otherwise(F.lit(float("inf")))
-    order = Window.partitionBy(m).orderBy(need, *MARGINS)
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("raw").over(order.rowsBetween(0, Window.unboundedFollowing))
+    rising = Window.partitionBy(m).orderBy(need, *MARGINS)
+    # The other way round, as a running sum is linear and a frame to the end of a partition is not.
+    falling = Window.partitionBy(m).orderBy(need.desc(), *[F.desc(o) for o in MARGINS])
+    before = F.coalesce(F.sum("cap").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("raw").over(falling.rowsBetween(Window.unboundedPreceding, 0))
     cells = cells.withColumns({"_before": before, "_rest": rest})
     factor = F.max(F.when(F.col("_rest") > 0, (F.col(f"to_{m}") - F.col("_before")) / F.col("_rest"))).over(Window.partitionBy(m))
     raised = F.least(F.col("raw") * F.coalesce(factor, F.lit(0.0)), F.lit(MOST))

@@ -148,14 +148,19 @@ def of_step(source: str, lang: str, topic: str) -> str:
     return f"CASE k % 3 WHEN 0 THEN {source} WHEN 1 THEN {lang} ELSE {topic} END"
 
 
-def raking(rounds: int) -> str:
-    """Steps of a recursion: one per margin, each a window over the cells."""
-    now = f"(SELECT *, {of_step('source', 'lang', 'topic')} AS v, {of_step('g_source', 'g_lang', 'g_topic')} AS goal FROM steps WHERE k < {3 * rounds})"
+def raking(rounds: int, every: int, tolerance: float) -> str:
+    """Steps of a recursion, one per margin, each a window over the cells; every few rounds the gaps may end it."""
+    gap = [f"CASE WHEN h_{m} > 0 THEN abs(h_{m} - g_{m}) ELSE 0 END" for m in ("source", "lang", "topic")]
+    held = ", ".join(f"sum(least(raw, cap)) OVER (PARTITION BY {m}) AS h_{m}" for m in ("source", "lang", "topic"))
+    now = f"""(
+  SELECT *, {of_step('source', 'lang', 'topic')} AS v, {of_step('g_source', 'g_lang', 'g_topic')} AS goal
+  FROM (SELECT *, max(greatest({', '.join(gap)})) OVER () AS gap FROM (SELECT *, {held} FROM steps WHERE k < {3 * rounds}))
+  WHERE k = 0 OR k % {3 * every} > 0 OR gap > {tolerance})"""
     step = fill("cap", "raw", "goal", "v", "source, lang, topic", now)
     return f"""steps AS (
   SELECT 0 AS k, * FROM w0 UNION ALL
   SELECT k + 1, source, lang, topic, tokens, cap, least(raw * factor, 1e200), g_source, g_lang, g_topic FROM ({step})
-), raked AS (SELECT * FROM steps WHERE k = {3 * rounds})"""
+), raked AS (SELECT * FROM steps WHERE k = (SELECT max(k) FROM steps))"""
 
 
 def target(margin: str) -> str:
@@ -182,7 +187,7 @@ w0 AS (
   SELECT source, lang, topic, tokens, cap, cap * 0.6 AS raw, a.goal AS g_source, b.goal AS g_lang, c.goal AS g_topic
   FROM c0 JOIN own_source a ON source = a.value JOIN own_lang b ON lang = b.value JOIN own_topic c ON topic = c.value
 ),
-{raking(36)},
+{raking(36, 3, 1e-7)},
 p AS (SELECT source, lang, topic, round(CASE WHEN tokens > 0 THEN least(raw, cap) / cap ELSE 0 END, 6) AS p FROM raked)
 SELECT doc_id, source, lang, topic, n_tokens, p AS probability,
   CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 < p AS kept
