@@ -128,6 +128,62 @@ def vocabulary(docs: DataFrame, doc: str, k: int, term_array: str = "terms", tra
     return vocabulary_topk(term_statistics(term_counts(docs, doc, term_array)), k)
 
 
+#: Most words, or terms, that a filter inside a row may list; beyond that all terms are grouped.
+MOST_LISTED = 20_000
+
+
+def pairs_of(words: Column) -> tuple[Column, Column]:
+    """First and second words of all pairs of neighbours."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n)
+
+
+def known_terms(words: Column, names: list[str]) -> Column:
+    """Of all words and pairs in a row those among ``names``, with repetitions."""
+    single, double = [t for t in names if " " not in t], [t for t in names if " " in t]
+    kept = F.filter(words, lambda w: w.isin(single)) if single else F.array().cast("array<string>")
+    if not double:
+        return kept
+    firsts, seconds = ({t.split(" ")[i] for t in double} for i in (0, 1))
+    both = lambda a, b: F.when(a.isin(firsts) & b.isin(seconds), F.concat_ws(" ", a, b))
+    return F.concat(kept, F.filter(F.zip_with(*pairs_of(words), both), lambda t: t.isin(double)))
+
+
+def word_vocabulary(docs: DataFrame, doc: str, k: int, bigrams: bool = True, words_array: str = "_words") -> DataFrame:
+    """(term, total, df) of the ``k`` most frequent words and pairs of neighbours, exactly.
+
+    A pair occurs no more often than either of its words, and the k most frequent words are k
+    terms already. So only words as frequent as the k-th, and pairs of them, can be among the best;
+    rarer pairs are never made. Three passes: words, pairs of frequent words, documents of the terms found.
+    Words have no blank. ``explode_outer``: the filter that ``explode`` adds would tokenize twice.
+    """
+    spark = docs.sparkSession
+    at = F.col(words_array)
+    each = docs.select(F.explode_outer(at).alias("term")).filter(F.col("term").isNotNull())
+    counts = cut(each.groupBy("term").agg(F.count(F.lit(1)).alias("total")), "words")
+    best = F.desc("total"), "term"
+    least = counts.orderBy(*best).limit(k).agg(F.min("total").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    if not least["n"]:
+        return vocabulary_topk(counts.withColumn("df", F.col("total")), k)
+    frequent = counts.filter(F.col("total") >= (least["t"] if least["n"] == k else 0))
+    if bigrams:
+        listed = [r["term"] for r in frequent.limit(MOST_LISTED + 1).collect()]
+        if max(len(listed), k) > MOST_LISTED:  # that many as rare as the k-th
+            return vocabulary_topk(term_statistics(term_counts(docs.select(doc, terms(at).alias("terms")), doc)), k)
+        first, second = pairs_of(at)
+        pair = docs.select(F.arrays_zip(first.alias("a"), second.alias("b")).alias("_pairs")).select(F.explode_outer("_pairs").alias("p"))
+        pair = pair.select("p.a", "p.b").filter(F.col("a").isin(listed) & F.col("b").isin(listed))
+        pair = pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("total"))
+        frequent = frequent.unionByName(pair.select(F.concat_ws(" ", "a", "b").alias("term"), "total"))
+    elif k > MOST_LISTED:
+        return vocabulary_topk(term_statistics(term_counts(docs.select(doc, at.alias("terms")), doc)), k)
+    top = frequent.orderBy(*best).limit(k).collect()
+    held = docs.select(F.array_distinct(known_terms(at, [r["term"] for r in top])).alias("_terms"))
+    held = held.select(F.explode_outer("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    totals = spark.createDataFrame([(r["term"], r["total"]) for r in top], "term string, total bigint")
+    return vocabulary_topk(cut(held.join(F.broadcast(totals), "term").select("term", "total", "df"), "vocabulary"), k)
+
+
 def idf(n_docs: Column, df: str | Column = "df") -> Column:
     """Smoothed: ln((1 + N) / (1 + df)) + 1."""
     return F.ln((F.lit(1.0) + n_docs) / (F.lit(1.0) + col(df))) + F.lit(1.0)

@@ -810,7 +810,8 @@ def tokenize_terms(spark, d):
 
 
 def _vocabulary(spark, d):
-    return features.vocabulary(features.tokenize_terms(documents(spark, d), "text"), "doc_id", 500)
+    words = documents(spark, d).select("doc_id", features.words("text").alias("_words"))
+    return features.word_vocabulary(words, "doc_id", 500)
 
 
 @query

@@ -209,3 +209,32 @@ def test_unseen_categories_get_minus_one(spark):
     for stage in models.category_stages(train, ["c"]):
         df = stage.transform(df)
     assert [r["c_code"] for r in df.collect()] == [0.0, 1.0, -1.0, -1.0]
+
+
+@pytest.mark.parametrize("k,bigrams,listed", [(3, True, 20_000), (40, True, 20_000), (1, True, 20_000), (40, False, 20_000), (700, True, 5), (9, False, 5), (5000, True, 20_000)])
+def test_vocabulary_from_frequent_words_is_exact(spark, monkeypatch, k, bigrams, listed):
+    """Zipf-like texts, ties at the k-th place, rows that share a key, empty and missing texts."""
+    monkeypatch.setattr(features, "MOST_LISTED", listed)
+    rng = np.random.default_rng(8)
+    texts = [[f"w{min(int(x), 900)}" for x in rng.zipf(1.5, 30)] for _ in range(150)] + [["it's", f"u{i}"] for i in range(60)] + [[], ["only"]]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)] + [(None, None)], "d long, _words array<string>").repartition(4)
+    total, held = {}, {}
+    for words in texts:
+        own = words + [f"{a} {b}" for a, b in zip(words, words[1:]) if bigrams]
+        for t in own:
+            total[t] = total.get(t, 0) + 1
+        for t in set(own):
+            held[t] = held.get(t, 0) + 1
+    want = sorted((-n, t) for t, n in total.items())[:k]
+    got = features.word_vocabulary(df, "d", k, bigrams).collect()
+    assert [(r["term"], r["total"], r["df"]) for r in got] == [(t, -n, held[t]) for n, t in want]
+    assert features.word_vocabulary(df.filter("d < 0"), "d", k).collect() == []
+
+
+def test_rare_pairs_are_never_grouped(spark, monkeypatch):
+    """Rows grouped for the vocabulary: words, and pairs of frequent words; not every pair of the corpus."""
+    rows = [(i, ["aa", "bb", f"r{i}", "aa", f"s{i}"]) for i in range(300)]
+    df = spark.createDataFrame(rows, "d long, _words array<string>").repartition(4)
+    monkeypatch.setattr(features, "term_statistics", None)  # what grouped all terms
+    got = features.word_vocabulary(df, "d", 3).collect()
+    assert [(r["term"], r["total"], r["df"]) for r in got] == [("aa", 600, 300), ("aa bb", 300, 300), ("bb", 300, 300)]
