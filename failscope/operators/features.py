@@ -201,16 +201,21 @@ def tfidf(
 ) -> DataFrame:
     """(doc, term, weight): weighted terms, scaled so that a document has length 1.
 
-    The vocabulary has at most ``k`` rows and is broadcast: terms outside it drop out
-    before anything is shuffled. The only shuffle over documents then brings the kept
+    The vocabulary has at most ``k`` rows and is broadcast: terms outside it drop out inside
+    their row, before anything is sorted or shuffled. The only shuffle over documents then brings the kept
     terms of a document together, and its length is taken inside that row.
     """
     tokens = words(text)
     if stop_words:
         tokens = remove_stop_words(tokens, stop_words)
-    tokenized = df.select(doc, tokens.alias("_words")).select(doc, terms(F.col("_words"), bigrams).alias("terms"))
-    counts = term_counts(tokenized, doc)
-    known = idf_table(vocabulary(tokenized, doc, k), df)
+    tokenized = df.select(doc, tokens.alias("_words"))
+    known = idf_table(word_vocabulary(tokenized, doc, k, bigrams), df)
+    if k <= MOST_LISTED:
+        names = [r["term"] for r in known.select("term").collect()]
+        kept = tokenized.select(doc, known_terms(F.col("_words"), names).alias("terms"))
+    else:
+        kept = tokenized.select(doc, terms(F.col("_words"), bigrams).alias("terms"))
+    counts = term_counts(kept, doc)
     tf = F.lit(1.0) + F.ln("tf") if sublinear else F.col("tf").cast("double")
     weighted = counts.join(F.broadcast(known.select("term", "idf")), "term").select(
         doc, F.struct("term", (tf * F.col("idf")).alias("w")).alias("e")
