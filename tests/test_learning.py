@@ -238,3 +238,29 @@ def test_rare_pairs_are_never_grouped(spark, monkeypatch):
     monkeypatch.setattr(features, "term_statistics", None)  # what grouped all terms
     got = features.word_vocabulary(df, "d", 3).collect()
     assert [(r["term"], r["total"], r["df"]) for r in got] == [("aa", 600, 300), ("aa bb", 300, 300), ("bb", 300, 300)]
+
+
+def test_sublinear_counts_stay_sparse(spark):
+    from pyspark.ml.linalg import SparseVector, Vectors
+
+    given = [Vectors.sparse(9, [1, 4], [1.0, 3.0]), Vectors.sparse(9, [], []), None, Vectors.dense([0.0, 2.0]), Vectors.sparse(9, [8], [2.0])]
+    df = spark.createDataFrame(list(enumerate(given)), ["i", "tf"]).coalesce(1)
+    got = [r["sub"] for r in models.SublinearTf("tf", "sub").transform(df).orderBy("i").collect()]
+    assert got[2] is None and all(isinstance(got[i], SparseVector) for i in (0, 1, 4))
+    for a, b in zip(given, got):
+        if a is not None:
+            assert b.toArray().tolist() == pytest.approx([1 + math.log(x) if x else 0.0 for x in a.toArray()])
+
+
+def test_fits_use_few_partitions(spark):
+    """As many as the rows need, not as many as the session shuffles with."""
+    from failscope.operators import training
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 50)
+    try:
+        kept = [training.in_key_order(spark.range(n).withColumnRenamed("id", "k"), "k") for n in (0, 10, 9000)]
+        assert [df.rdd.getNumPartitions() for df in kept] == [1, 1, 3]
+        assert kept[2].distinct().count() == 9000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
