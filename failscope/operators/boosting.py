@@ -23,7 +23,7 @@ from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import cut
@@ -37,7 +37,7 @@ LEAST_PRIOR = 1e-15
 
 
 class BoostedClasses(Model, DefaultParamsReadable, DefaultParamsWritable):
-    """Trees of all rounds. Adds rawPrediction, probability and prediction as column expressions."""
+    """Trees of all rounds. Adds rawPrediction, probability and prediction; a batch of rows walks the trees at once."""
 
     trees = Param(Params._dummy(), "trees", "the model as JSON", typeConverter=TypeConverters.toString)
 
@@ -50,8 +50,8 @@ class BoostedClasses(Model, DefaultParamsReadable, DefaultParamsWritable):
         return json.loads(self.getOrDefault(self.trees))
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        raw = let(vector_to_array("features"), lambda v: raw_scores(v, self.state()))
-        df = df.withColumn("_raw", raw)
+        score = F.arrow_udf(raw_scores(self.state()), "array<double>")
+        df = df.withColumn("_raw", score("features"))
         top = F.array_max("_raw")
         df = df.withColumn("_share", F.transform("_raw", lambda x: F.exp(x - top)))
         total = F.aggregate("_share", F.lit(0.0), lambda a, x: a + x)
@@ -62,43 +62,70 @@ class BoostedClasses(Model, DefaultParamsReadable, DefaultParamsWritable):
         }).drop("_raw", "_share")
 
 
-def let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
+def split_values(vectors: pa.StructArray, features: np.ndarray) -> np.ndarray:
+    """Values of the features that trees split at, (row, feature), from vectors as Spark stores them.
 
-
-def numbers(values: list, kind: str) -> Column:
-    """An array literal that stays one node of the plan."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
-
-
-def raw_scores(v: Column, state: dict) -> Column:
-    """Score per class: start value and the rate times the leaves that ``v`` falls into.
-
-    Trees are complete: inner nodes in heap order, then leaves. A node without a split leads left.
+    A feature that a row's vector is too short for, or that a missing vector lacks, leads left.
     """
-    depth, k, rounds = state["depth"], len(state["start"]), len(state["trees"])
-    inner, leaves = 2**depth - 1, 2**depth
-    flat = [tree for round_ in state["trees"] for tree in round_]
-    start = numbers(state["start"], "double")
-    if not flat:
-        return start
-    feature = numbers([x for t in flat for x in t["feature"]], "int")
-    bound = numbers([x if f >= 0 else 0.0 for t in flat for x, f in zip(t["bound"], t["feature"], strict=True)], "double")
-    value = numbers([x for t in flat for x in t["value"]], "double")
-
-    def leaf(tree: Column) -> Column:
-        def step(at: Column) -> Column:
-            f = F.get(feature, tree * inner + at)
-            right = (f >= 0) & (F.get(v, f) > F.get(bound, tree * inner + at))
-            return at * 2 + 1 + F.coalesce(right, F.lit(False)).cast("int")
-
-        at = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), lambda node, _: step(node))
-        return F.get(value, tree * leaves + at - inner)
-
-    add = lambda c: F.aggregate(
-        F.sequence(F.lit(0), F.lit(rounds - 1)), F.lit(0.0), lambda a, r: a + F.lit(state["rate"]) * leaf(r * k + c)
-    )
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.get(start, c) + add(c))
+    n = len(vectors)
+    x = np.full((n, len(features)), -np.inf)
+    kind, size, indices, values = (vectors.field(c) for c in ("type", "size", "indices", "values"))
+    held = vectors.is_valid().to_numpy(zero_copy_only=False)
+    sparse = held & (kind.fill_null(1).to_numpy(zero_copy_only=False) == 0)
+    width = np.where(sparse, size.fill_null(0).to_numpy(zero_copy_only=False), 0)
+    x[features[None, :] < width[:, None]] = 0.0
+    flat = values.values.to_numpy(zero_copy_only=False)
+    ends = values.offsets.to_numpy()
+    for i in np.flatnonzero(held & ~sparse):
+        own = flat[ends[i] : ends[i + 1]]
+        known = features < len(own)
+        x[i, known] = own[features[known]]
+    if len(features) and sparse.any():
+        at, ends_of = indices.values.to_numpy(zero_copy_only=False), indices.offsets.to_numpy()
+        counts = np.where(sparse, np.diff(ends_of), 0)
+        row = np.repeat(np.arange(n), counts)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        feature = at[ends_of[:-1][row] + step]
+        slot = np.minimum(np.searchsorted(features, feature), len(features) - 1)
+        hit = features[slot] == feature
+        x[row[hit], slot[hit]] = flat[ends[:-1][row] + step][hit]
+    return x
+
+
+def raw_scores(state: dict):
+    """Arrow function: score per class, start value and the rate times the leaves that a vector falls into.
+
+    Trees are complete: inner nodes in heap order, then leaves. A node without a split leads left,
+    a value that is no number right. A batch takes each tree at once.
+    """
+    depth, rate, start = state["depth"], state["rate"], state["start"]
+    used = sorted({f for trees in state["trees"] for t in trees for f in t["feature"] if f >= 0})
+    features, place = np.array(used, dtype=np.int64), {f: i for i, f in enumerate(used)}
+    coded = [
+        [(np.array([place.get(f, -1) for f in t["feature"]]), np.array(t["bound"], float), np.array(t["value"], float)) for t in trees]
+        for trees in state["trees"]
+    ]
+
+    def run(vectors: pa.Array) -> pa.Array:
+        n = len(vectors)
+        raw, rows = np.zeros((n, len(start))), np.arange(n)
+        x = split_values(vectors, features)
+        for trees in coded if len(features) else []:
+            for c, (slot, bound, value) in enumerate(trees):
+                at = np.zeros(n, dtype=np.int64)
+                for _ in range(depth):
+                    f = slot[at]
+                    v = x[rows, f]
+                    at = at * 2 + 1 + ((f >= 0) & ((v > bound[at]) | np.isnan(v)))
+                raw[:, c] += rate * value[at - (2**depth - 1)]
+        if not len(features):  # no tree splits: every row takes the first leaf
+            for trees in coded:
+                for c, (_, _, value) in enumerate(trees):
+                    raw[:, c] += rate * value[0]
+        raw = np.array(start) + raw
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(start), pa.int32()), pa.array(raw.ravel()))
+
+    return run
 
 
 # --- bins -------------------------------------------------------------------------------------

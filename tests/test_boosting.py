@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from failscope.operators import boosting, models
@@ -211,3 +212,29 @@ def test_measures_are_those_of_counted_predictions(spark, blobs):
         assert got[(name, "support")] == labels.count(k)
         assert got[(name, "recall")] == pytest.approx(hit / labels.count(k), abs=1e-4)
         assert got[(name, "precision")] == pytest.approx(hit / guess.count(k) if guess.count(k) else 0, abs=1e-4)
+
+
+def test_scores_walk_the_trees_for_every_kind_of_vector(spark):
+    """Sparse, dense, short, missing and not-a-number values against a plain walk."""
+    import json
+
+    from failscope.operators.boosting import BoostedClasses
+
+    rng = np.random.default_rng(4)
+    trees = [[{"feature": [int(rng.integers(-1, 9)) for _ in range(7)], "bound": [float(x) for x in rng.normal(size=7)],
+               "value": [float(x) for x in rng.normal(size=8)]} for _ in range(3)] for _ in range(6)]
+    state = {"depth": 3, "rate": 0.1, "start": [0.1, -0.2, 0.3], "trees": trees}
+    rows = [rng.normal(size=9) * (rng.random(9) < 0.5) for _ in range(30)] + [np.array([np.nan] * 9), rng.normal(size=4)]
+    vectors = [Vectors.dense(v) if i % 3 == 0 else Vectors.sparse(len(v), [j for j in range(len(v)) if v[j] != 0], [x for x in v if x != 0]) for i, v in enumerate(rows)]
+    df = spark.createDataFrame(list(enumerate(vectors)), ["i", "features"]).coalesce(2)
+    got = {r["i"]: r["rawPrediction"].toArray().tolist() for r in BoostedClasses(json.dumps(state)).transform(df).collect()}
+    for i, v in enumerate(rows):
+        want = list(state["start"])
+        for round_ in trees:
+            for c, t in enumerate(round_):
+                at = 0
+                for _ in range(3):
+                    f = t["feature"][at]
+                    at = 2 * at + 1 + int(0 <= f < len(v) and (np.isnan(v[f]) or v[f] > t["bound"][at]))
+                want[c] += 0.1 * t["value"][at - 7]
+        assert got[i] == pytest.approx(want)
