@@ -526,8 +526,8 @@ def _saved_halves(spark, d) -> str:
     """A store of two batches: failures up to the middle of the month, and later ones."""
     root, late = store.scratch_dir(spark, "store"), F.col("created_at") >= F.lit("2024-01-16").cast("timestamp")
     rows = analyzed(spark, d)
-    store.persist_fanout(rows.filter(late), root, "late")
-    store.persist_fanout(rows.filter(~late), root, "early")
+    store.persist_fanout(rows.filter(late), root, "late", cache=False)
+    store.persist_fanout(rows.filter(~late), root, "early", cache=False)
     return root
 
 

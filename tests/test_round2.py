@@ -132,3 +132,12 @@ def test_snapshots(spark, failures, tmp_path):
     assert store.scan_table(spark, root, "failures").count() == left.filter("id <> 900").count() + 1
     plan = store.failures_of_days(spark, root, "2024-01-02", "2024-01-03")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_halves_are_written_without_a_kept_copy_of_the_analysis(spark, data_dir, monkeypatch):
+    """The nested analysis of all rows is several times their size; each table computes what it needs."""
+    from failscope.plans import queries
+
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda *a, **k: pytest.fail("a copy is kept"))
+    root = queries._saved_halves(spark, data_dir)
+    assert store.scan_table(spark, root, "failures").count() == view(spark, data_dir, "failures_src").filter("created_at IS NOT NULL").count()
