@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -19,13 +20,13 @@ from .sampling import cap_per_class, stratified_split
 class TrainingSet:
     """Feature stages and the two sides of a cleaned training table.
 
-    All rows are split; only the training side that a classifier is fitted on is bounded,
-    to ``cap`` rows per class, and kept. The test side and ``features`` cover every row.
-    Features are fitted on the bounded training side; ``fit_before_split`` fits them on as
-    many rows of both sides.
+    All rows are split; the training side that a classifier is fitted on is kept, bounded to
+    ``cap`` rows per class, or whole if ``cap`` is None. The test side and ``features`` cover every row.
+    Features are fitted on that training side; ``fit_before_split`` fits them on as many rows
+    of both sides.
     """
 
-    def __init__(self, rows: DataFrame, key: str = "test_id", cap: int = 2000, test_share: float = 0.2,
+    def __init__(self, rows: DataFrame, key: str = "test_id", cap: int | None = 2000, test_share: float = 0.2,
                  fit_before_split: bool = False, message_terms: int = 500, trace_terms: int = 200):
         columns = [key, "root_cause", "error_message", "stack_trace"]
         self.rows = rows.select(*columns, *models.CATEGORY_COLUMNS, *models.NUMBER_COLUMNS)
@@ -62,20 +63,28 @@ class TrainingSet:
         self.train_rows.unpersist()
 
 
-def bounded(rows: DataFrame, label: str, key: str, cap: int = 2000, classes: list | None = None) -> DataFrame:
-    """At most ``cap`` rows per class to fit on, kept, in an order that does not depend on
-    the input's partitions: fits draw their rows by position."""
+def bounded(rows: DataFrame, label: str, key: str, cap: int | None = 2000, classes: list | None = None) -> DataFrame:
+    """At most ``cap`` rows per class to fit on, all if it is None, kept, in an order that does not
+    depend on the input's partitions: fits draw their rows by position."""
+    if cap is None:
+        known = rows if classes is None else rows.filter(F.col(label).isin(list(classes)))
+        return in_key_order(known, key)
     return in_key_order(cut(cap_per_class(rows, label, key, cap, classes=classes), "bounded"), key)
 
 
 #: Rows of a partition to fit on. Every partition of a forest's fit sends sums for all nodes of all
 #: trees, so what it shuffles grows with the partitions, not with the rows.
 FIT_ROWS = 4000
+#: Partitions of ``FIT_ROWS`` rows. Beyond, they grow with the root of the rows, as what a task holds
+#: has to stay small as well.
+FIT_PARTS = 8
 
 
 def in_key_order(rows: DataFrame, key: str) -> DataFrame:
     """Written rows, kept in as few partitions as their number needs, whatever the session's setting."""
     parts = max(1, -(-rows.count() // FIT_ROWS))
+    if parts > FIT_PARTS:
+        parts = math.ceil(math.sqrt(FIT_PARTS * parts))
     return rows.repartition(parts, key).sortWithinPartitions(key).persist()
 
 

@@ -38,3 +38,45 @@ def test_neighbours_write_no_row_per_cell(spark, monkeypatch, open_, block, chun
     assert found(df, block_rows=block, cell_rows=20) == nearest_by_hand(keys, labels, points.astype(float), 4)
     assert "scanned" in written
     assert sum(df.count() for df in written.get("visits", [])) <= 400 * oversample.FEW_VISITS
+
+
+@pytest.fixture(scope="module")
+def many_failures(spark, tmp_path_factory):
+    """More failures of each class than a bounded fit takes."""
+    path = str(tmp_path_factory.mktemp("many"))
+    spark.range(18_000).select(
+        F.col("id").alias("event_id"), F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id * 60)").cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 97).alias("user_id"), F.element_at(F.array(*map(F.lit, ["error", "view", "click"])), (F.col("id") % 3 + 1).cast("int")).alias("event_type"),
+        (F.col("id") % 1000 / 7).alias("value"), F.concat(F.lit('{"k": '), F.col("id") % 50, F.lit("}")).alias("props"),
+    ).write.parquet(f"{path}/events.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["train_random_forest"])
+def test_models_learn_from_every_training_row(spark, monkeypatch, many_failures, name):
+    from failscope.functions import vocab
+    from failscope.operators import models
+    from failscope.plans.queries import QUERIES
+    from failscope.plans.views import view
+
+    class Seen(Exception):
+        pass
+
+    def fit(train, *args, **options):
+        raise Seen(dict(train.groupBy("label").count().collect()))
+
+    monkeypatch.setattr(models, name, fit)
+    with pytest.raises(Seen) as seen:
+        QUERIES[name](spark, many_failures)
+    sizes = dict(view(spark, many_failures, "failures_src").groupBy("root_cause").count().collect())
+    want = {float(i): sizes[c] - int(sizes[c] * 0.2 + 0.5) for i, c in enumerate(sorted(vocab.ROOT_CAUSES))}
+    assert seen.value.args[0] == want and min(want.values()) > 1000 and max(want.values()) > 2000
+
+
+def test_partitions_to_fit_on_grow_slower_than_rows(spark):
+    from failscope.operators import training
+
+    few, many = (training.in_key_order(spark.range(n).withColumnRenamed("id", "k"), "k") for n in (32_000, 800_000))
+    assert (few.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (8, 40)
+    assert many.count() == 800_000
+    few.unpersist(), many.unpersist()
