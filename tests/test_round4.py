@@ -52,7 +52,7 @@ def many_failures(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["train_random_forest"])
+@pytest.mark.parametrize("name", ["train_random_forest", "tune_grid"])
 def test_models_learn_from_every_training_row(spark, monkeypatch, many_failures, name):
     from failscope.functions import vocab
     from failscope.operators import models
